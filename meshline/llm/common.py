@@ -44,6 +44,8 @@ class Stage:
 
     def write(self, df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(self.path(tag))
+        # Files of finished shuffles go when the driver collects their handles; else they would fill the disks meanwhile.
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(tag))
 
     def drop(self, *tags: str) -> None:
