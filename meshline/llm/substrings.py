@@ -16,6 +16,7 @@ removed in one is removed in all of them.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -128,28 +129,33 @@ def digest(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return dedup(docs.select("doc_id", "text"), size).select("doc_id", "text", "_spans").mapInArrow(run, schema)
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+
+
+def _rest(raw: bytes, spans: list[dict], size: int) -> bytes:
+    """A text without the words the spans cover; each run of them goes with the white space after it."""
+    places = [m.start() for m in _WORD.finditer(raw)]
+    cut = ~keep_mask(len(places), spans, size)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], cut.view(np.int8), [0]]))).tolist()
+    places.append(len(raw))
+    out, start = [], 0
+    for a, b in zip(edge[::2], edge[1::2], strict=True):
+        out.append(raw[start : places[a]])
+        start = places[b]
+    out.append(raw[start:])
+    return b"".join(out)
+
+
 def clean(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``docs`` with repeated words cut from their texts; white space around kept words stays as it is. Texts with nothing to cut stay the same, nulls too."""
+    """``docs`` with repeated words cut from their texts, all its columns kept. Texts with nothing to cut stay the same, nulls too."""
     columns = docs.columns
 
     def run(batches):
-        import re
-
-        word = re.compile(rb"[^\x20\x09-\x0d]+")
         for block in blocks(batches):
             texts = block.column("text").to_pylist()
             for k, spans in enumerate(block.column("_spans").to_pylist()):
-                if spans:
-                    raw = texts[k].encode()
-                    places = [m.span() for m in word.finditer(raw)]
-                    keep = keep_mask(len(places), spans, size).tolist()
-                    out, start = [], 0
-                    for j, (a, b) in enumerate(places):
-                        if not keep[j]:
-                            out.append(raw[start:a])
-                            start = b
-                    out.append(raw[start:])
-                    texts[k] = re.sub(r"[ \t]{2,}", " ", b"".join(out).decode()).strip()
+                if spans and texts[k] is not None:
+                    texts[k] = _rest(texts[k].encode(), spans, size).decode()
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else block.column(c) for c in columns], columns)
 
     return dedup(docs, size).select(*columns, "_spans").mapInArrow(run, docs.schema)
