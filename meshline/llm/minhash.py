@@ -35,7 +35,7 @@ from meshline.llm.common import Stage, WordHashes, blocks, bytes_of, mix64, wind
 from meshline.llm.components import components
 
 WORDS, SIMILARITY = 5, 75  # hundredths
-COORDINATES, MATCHES, BLOCK = 32, 14, 128
+COORDINATES, MATCHES, BLOCK, TILE = 32, 14, 1024, 128
 _A = np.random.default_rng(32).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _B = np.random.default_rng(33).integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 SETS = "doc_id long, n_shingles long, k1 long, k2 long, signature array<long>"
@@ -84,17 +84,25 @@ def _postings(kinds: DataFrame, stage: Stage) -> DataFrame:
     return stage.write(prefix.join(heads, "key"), "prefix")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, stage: Stage, tag: str) -> DataFrame:
-    """The pairs (u, v) of kinds whose sets are similar enough. Texts travel compressed, those of u's in order so that a worker keeps the last ones' sets."""
-    pairs = stage.write(pairs.distinct(), f"{tag}-pairs")
-    needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
+def _packed(docs: DataFrame, needed: DataFrame, stage: Stage, tag: str) -> DataFrame:
+    """(doc_id, packed): compressed texts of the documents that are needed, one of each doc_id."""
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=1)
         for block in blocks(batches):
             yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array([press.compress(raw.lower()) for raw in bytes_of(block.column("text"))], pa.binary())], ["doc_id", "packed"])
 
-    texts = stage.write(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(pack, "doc_id long, packed binary"), f"{tag}-texts")
+    # Packed before they are dealt out; the side of those needed grows with the corpus, so it is never broadcast.
+    packed = docs.select("doc_id", "text").mapInArrow(pack, "doc_id long, packed binary").join(needed.hint("merge"), "doc_id", "left_semi")
+    return stage.write(packed.groupBy("doc_id").agg(F.min("packed").alias("packed")), tag)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, stage: Stage, tag: str) -> DataFrame:
+    """The pairs (u, v) of kinds whose sets are similar enough. Texts travel compressed, those of u's in order so that a worker keeps the last ones' sets."""
+    pairs = stage.write(pairs.distinct(), f"{tag}-pairs")
+    needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
+
+    texts = _packed(docs, needed, stage, f"{tag}-texts")
     both = pairs.join(texts.withColumnsRenamed({"doc_id": "v", "packed": "pv"}), "v").join(texts.withColumnsRenamed({"doc_id": "u", "packed": "pu"}), "u")
 
     def check(batches):
@@ -122,36 +130,85 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, stage: Stage, tag: str) -> Dat
     return found
 
 
-def _match(rows: DataFrame) -> DataFrame:
-    """Pairs of kinds of different components with enough collisions, from rows (key, bi, bj, b, kind, component, signature) in order."""
+def shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right one, as a product of incidence matrices."""
+    mine = [sets[i] for i in left.tolist()] + [sets[i] for i in right.tolist()]
+    _, place = np.unique(np.concatenate(mine), return_inverse=True)
+    row = np.repeat(np.arange(len(mine)), [len(x) for x in mine])
+    # Shingles that one of the sets alone has do not count.
+    often = np.bincount(place)[place] > 1
+    used, place = np.unique(place[often], return_inverse=True)
+    held = np.zeros((len(mine), len(used)), dtype=np.float32)
+    held[row[often], place] = 1
+    return np.rint(held[: len(left)] @ held[len(left) :].T).astype(np.int64)
 
-    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
-        b = np.array([r[0] for r in rows])
-        kind, component = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        s = np.array([r[3] for r in rows])
-        left, right = np.flatnonzero(b == b.min()), np.flatnonzero(b == b.max())
-        out: list[tuple[int, int]] = []
-        for i in left.tolist():
-            other = right[component[right] != component[i]]
-            hits = other[(s[other] == s[i]).sum(axis=1) >= MATCHES]
-            out += [(min(int(kind[i]), x), max(int(kind[i]), x)) for x in kind[hits].tolist()]
-        return out
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """Links between kinds of different components, from rows (key, bi, bj, b, kind, component, signature, packed) in order.
+
+    Pairs with enough collisions are confirmed on their full sets, a tile of
+    blocks at a time; of the links of one group, those that join components
+    not joined yet are kept, so a group never gives more than its size.
+    """
 
     def run(batches):
+        known, open_ = WordHashes(), zstandard.ZstdDecompressor()
+        out: list[tuple[int, int]] = []
+
+        def compare(group: list[tuple]) -> None:
+            b = np.array([r[0] for r in group])
+            kind, component, s = np.array([r[1] for r in group]), np.array([r[2] for r in group]), np.stack([r[3] for r in group])
+            sets: list[np.ndarray | None] = [None] * len(group)
+            root = {c: c for c in component.tolist()}
+
+            def top(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            left, right = np.flatnonzero(b == b.min()), np.flatnonzero(b == b.max())
+            for i in range(0, len(left), TILE):
+                for j in range(0, len(right), TILE):
+                    x, y = left[i : i + TILE], right[j : j + TILE]
+                    hits = np.zeros((len(x), len(y)), dtype=np.int16)
+                    for k in range(COORDINATES):
+                        hits += s[x, k][:, None] == s[y, k][None, :]
+                    near = (hits >= MATCHES) & (component[x][:, None] != component[y][None, :])
+                    x, y = x[near.any(axis=1)], y[near.any(axis=0)]
+                    if not len(x):
+                        continue
+                    for k in {*x.tolist(), *y.tolist()}:
+                        if sets[k] is None:
+                            sets[k] = shingles(known.of(open_.decompress(group[k][4]).split()))
+                    size = np.array([0 if z is None else len(z) for z in sets])
+                    both = shared(sets, x, y)
+                    fit = (100 * both >= SIMILARITY * (size[x][:, None] + size[y][None, :] - both)) & (component[x][:, None] != component[y][None, :])
+                    for p, q in zip(*np.nonzero(fit), strict=True):
+                        u, v = top(int(component[x[p]])), top(int(component[y[q]]))
+                        if u != v:
+                            root[max(u, v)] = min(u, v)
+                            out.append((int(kind[x[p]]), int(kind[y[q]])))
+
+        def pack() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+            out.clear()
+            return found
+
         held, group = [], None
         for block in batches:
-            out: list[tuple[int, int]] = []
-            for key, bi, bj, b, kind, component, s in zip(*(block.column(c).to_pylist() for c in ("key", "bi", "bj", "b", "kind", "component", "signature")), strict=True):
+            signatures_ = np.asarray(block.column("signature").flatten()).reshape(block.num_rows, -1)
+            for n, (key, bi, bj, b, kind, component, packed) in enumerate(zip(*(block.column(c).to_pylist() for c in ("key", "bi", "bj", "b", "kind", "component", "packed")), strict=True)):
                 if (key, bi, bj) != group:
                     if len(held) > 1:
-                        out += compare(held)
+                        compare(held)
                     held, group = [], (key, bi, bj)
-                held.append((b, kind, component, s))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in set(out)], pa.int64()) for k in (0, 1)], ["u", "v"])
+                held.append((b, kind, component, signatures_[n], packed))
+            yield pack()
         if len(held) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in compare(held)], pa.int64()) for k in (0, 1)], ["u", "v"])
+            compare(held)
+        yield pack()
 
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def components_of(docs: DataFrame, stage: Stage) -> DataFrame:
@@ -173,18 +230,23 @@ def components_of(docs: DataFrame, stage: Stage) -> DataFrame:
     several = named.where("doc_id <> kind")
     first = stage.write(components(links, stage, "cc1"), "first")
 
-    # Round two: what is left between different components of one list.
+    # Round two: what is left between different components of one list. Lists of the same members are one.
     here = stage.write(prefix.select("key", "kind").join(first, F.col("kind") == F.col("node"), "left").select("key", "kind", F.coalesce("component", "kind").alias("component")), "here")
-    groups = here.groupBy("key", "component").count()
-    split = groups.groupBy("key").agg(F.sum("count").alias("members"), F.count("*").alias("n"), F.max_by("component", "count").alias("main"), F.max("count").alias("in_main")).where("n > 1")
-    lists = here.join(split, "key").withColumn("out", (F.col("component") != F.col("main")).cast("int"))
+    marks = F.sum(F.xxhash64("kind").cast("decimal(20,0)"))
+    groups = here.groupBy("key", "component").agg(F.count("*").alias("count"), marks.alias("mark"))
+    split = groups.groupBy("key").agg(F.sum("count").alias("members"), F.count("*").alias("n"), F.sum("mark").alias("mark"), F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("in_main")).where("n > 1")
+    alike = split.groupBy("members", "mark").agg(F.min(F.struct("key", "main", "in_main")).alias("x")).select("x.*", "members")
+    lists = here.join(stage.write(alike, "alike"), "key").withColumn("out", (F.col("component") != F.col("main")).cast("int"))
     # Members of the list's main component are not compared with each other; the blocks of the others are, with all.
     no, ni = F.ceil((F.col("members") - F.col("in_main")) / BLOCK).cast("int"), F.ceil(F.col("in_main") / BLOCK).cast("int")
-    lists = lists.withColumns({"no": no, "ni": ni}).withColumn("b", F.when(F.col("out") == 1, F.pmod(F.xxhash64("kind"), F.col("no"))).otherwise(F.col("no") + F.pmod(F.xxhash64("kind"), F.col("ni"))).cast("int"))
-    other = F.when(F.col("out") == 1, F.sequence(F.lit(0), F.col("no") + F.col("ni") - 1)).otherwise(F.sequence(F.lit(0), F.col("no") - 1))
-    dealt = lists.select("key", "kind", "component", "b", F.explode(other).alias("o")).select("key", "kind", "component", "b", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"))
-    dealt = dealt.join(s, "kind").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    more = _confirmed(_match(dealt.select("key", "bi", "bj", "b", "kind", "component", "signature")), docs, stage, "rest")
+    lists = lists.withColumns({"no": no, "ni": ni}).withColumn("b", F.when((F.col("out") == 1) | (F.col("members") <= BLOCK), F.pmod(F.xxhash64("kind"), F.col("no"))).otherwise(F.col("no") + F.pmod(F.xxhash64("kind"), F.col("ni"))).cast("int"))
+    other = F.when(F.col("members") <= BLOCK, F.array(F.lit(0))).when(F.col("out") == 1, F.sequence(F.lit(0), F.col("no") + F.col("ni") - 1)).otherwise(F.sequence(F.lit(0), F.col("no") - 1))
+    dealt = stage.write(lists.select("key", "kind", "component", "b", F.explode(other).alias("o")).select("key", "kind", "component", "b", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj")), "dealt")
+    texts = _packed(docs, dealt.select(F.col("kind").alias("doc_id")).distinct(), stage, "texts")
+    full_rows = dealt.join(s.join(texts.withColumnRenamed("doc_id", "kind"), "kind"), "kind")
+    ordered = full_rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    more = stage.write(_linked(ordered.select("key", "bi", "bj", "b", "kind", "component", "signature", "packed")), "more")
+    stage.drop("alike", "dealt", "texts")
     every = links.unionByName(more).unionByName(several.select(F.col("doc_id").alias("u"), F.col("kind").alias("v")))
     last = stage.write(components(every, stage, "cc2"), "last")
     stage.drop("prefix", "here", "kinds")
