@@ -66,7 +66,8 @@ CATALOGUE: tuple[Rule, ...] = (
     Rule(7107, "ticks", "right_perpendicular_tick_0_5mm", (3.0, 0.5, 1.0), LARGE_SCALES),
     Rule(7212, "arcs", "right_arc", (1.5, 1.5, 0.75, 0.5), LARGE_SCALES),
 )
-PIECE = "struct<decoration:string,kind:string,pts:array<struct<x:double,y:double>>>"
+#: A piece has its points, or is the part of the line between two distances.
+PIECE = "struct<decoration:string,kind:string,pts:array<struct<x:double,y:double>>,a:double,b:double>"
 
 
 def catalogue(spark) -> DataFrame:
@@ -97,7 +98,12 @@ def stations(start: Column, end: Column, step: Column) -> Column:
 
 
 def _piece(name: Column, kind: str, pts: Column) -> Column:
-    return F.struct(name.alias("decoration"), F.lit(kind).alias("kind"), pts.alias("pts"))
+    none = F.lit(None).cast("double")
+    return F.struct(name.alias("decoration"), F.lit(kind).alias("kind"), pts.alias("pts"), none.alias("a"), none.alias("b"))
+
+
+def _part(name: Column, start: Column, end: Column) -> Column:
+    return F.struct(name.alias("decoration"), F.lit("line").alias("kind"), F.lit(None).cast(f"array<{G.POINT}>").alias("pts"), start.alias("a"), end.alias("b"))
 
 
 def _moved(s: Column, along: Column | float, right: Column | float) -> Column:
@@ -113,8 +119,8 @@ def _branch(s: Column, degrees: float, length: Column) -> Column:
 
 def _semicircle(s: Column, radius: Column, right: Column | float) -> Column:
     """Half a disc on one side of a line (right: 1 or -1), nine points and the first again."""
-    arc = [_moved(s, radius * math.cos(math.pi * (1 - k / ARC_STEPS)), radius * math.sin(math.pi * (1 - k / ARC_STEPS)) * right) for k in range(ARC_STEPS + 1)]
-    return F.array(*arc, arc[0])
+    at = lambda t: _moved(s, radius * F.cos(t), radius * F.sin(t) * right)
+    return F.transform(F.sequence(F.lit(0), F.lit(ARC_STEPS + 1)), lambda k: G.let((F.lit(1.0) - k % (ARC_STEPS + 1) / ARC_STEPS) * math.pi, at))
 
 
 def generate(generator: str, name: Column, mm: Column, segs: Column, pts: Column, level: Column) -> Column:
@@ -147,12 +153,13 @@ def generate(generator: str, name: Column, mm: Column, segs: Column, pts: Column
         return F.when(total > radius * 2, made).otherwise(none)
     if generator == "dash_dots":
         starts = F.filter(stations(F.lit(0.0), total, m["cycle"]), lambda d: d < total)
-        dashes = F.transform(starts, lambda d: _piece(name, kind, G.slice_line(segs, d, F.least(d + m["dash"], total), LEAST)))
+        dashes = F.transform(starts, lambda d: _part(name, d, F.least(d + m["dash"], total)))
         dots = F.transform(stations(m["offset"], total, m["cycle"]), lambda d: G.let(at(d), lambda s: _piece(F.lit("gap_circle"), "point", F.array(_moved(s, 0, 0)))))
         return F.when(F.size(segs) > 0, F.concat(dashes, dots)).otherwise(none)
     if generator == "arcs":
         half = m["width"] / 2
-        arc = lambda s: F.array(*(_moved(s, half * math.cos(math.pi * k / ARC_STEPS), m["height"] * (1 - math.sin(math.pi * k / ARC_STEPS))) for k in range(ARC_STEPS + 1)))
+        bow = lambda s, t: _moved(s, half * F.cos(t), m["height"] * (F.lit(1.0) - F.sin(t)))
+        arc = lambda s: F.transform(F.sequence(F.lit(0), F.lit(ARC_STEPS)), lambda k: G.let(k / ARC_STEPS * math.pi, lambda t: bow(s, t)))
         chord = lambda s: F.array(_moved(s, m["chord"] / -2, m["height"]), _moved(s, m["chord"] / 2, m["height"]))
         made = F.flatten(F.transform(stations(half, total - half, m["interval"]), lambda d: G.let(at(d), lambda s: F.array(_piece(name, kind, arc(s)), _piece(F.lit("center_chord"), kind, chord(s))))))
         return F.when(total > half * 2, made).otherwise(none)
@@ -161,10 +168,10 @@ def generate(generator: str, name: Column, mm: Column, segs: Column, pts: Column
             minor = d + m["dash"] + m["gap"]
             both = lambda s, angles: F.array(*(_piece(F.lit("major_dash_end"), kind, _branch(s, a, m["branch"])) for a in angles))
             return F.concat(
-                F.array(_piece(name, kind, G.slice_line(segs, d, F.least(d + m["dash"], total), LEAST))),
+                F.array(_part(name, d, F.least(d + m["dash"], total))),
                 G.let(at(d), lambda s: both(s, (135, 225))),
                 F.when(d + m["dash"] <= total, G.let(at(d + m["dash"]), lambda s: both(s, (45, 315)))).otherwise(none),
-                F.when(minor < total, F.array(_piece(F.lit("minor_dash"), kind, G.slice_line(segs, minor, F.least(minor + m["minor"], total), LEAST)))).otherwise(none),
+                F.when(minor < total, F.array(_part(F.lit("minor_dash"), minor, F.least(minor + m["minor"], total)))).otherwise(none),
             )
 
         return F.flatten(F.transform(F.filter(stations(F.lit(0.0), total, m["cycle"]), lambda d: d < total), cycle))
@@ -196,6 +203,8 @@ def decorate(features: DataFrame) -> DataFrame:
     wanted = (F.col("kind") == F.col("source_kind")) & F.array_contains("levels", F.col("map_level").cast("int")) & ~F.col("dmfigtype").eqNullSafe(F.lit(SUPPRESSED))
     wanted = wanted & (F.col("only_figtype").isNull() | (F.col("dmfigtype") == F.col("only_figtype")))
     rows = features.where(plain).join(rules, "dmcode").where(wanted).withColumn("_segs", G.segments(F.col("pts"))).withColumn("_pieces", made)
+    cut = lambda p: F.coalesce(p["pts"], F.when(p["a"].isNotNull(), G.slice_line(F.col("_segs"), p["a"], p["b"], LEAST)))
+    rows = rows.withColumn("_pieces", F.transform("_pieces", lambda p: F.struct(p["decoration"].alias("decoration"), p["kind"].alias("kind"), cut(p).alias("pts"))))
     long_enough = F.filter("_pieces", lambda p: p["pts"].isNotNull() & ((p["kind"] == "point") | (G.line_length(p["pts"]) >= LEAST)))
     out = rows.withColumn("_pieces", long_enough).select(*(c for c in features.columns if c != "pts"), F.posexplode("_pieces").alias("_at", "_p"))
     return out.select(*(c for c in features.columns if c != "pts"), F.col("_p.decoration").alias("decoration"), (F.col("_at") + 1).cast("long").alias("deco_index"), F.col("_p.kind").alias("deco_kind"), F.col("_p.pts").alias("pts"))

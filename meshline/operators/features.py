@@ -9,7 +9,8 @@ from meshline.functions import geometry as G
 from meshline.functions import text as T
 from meshline.functions.fixedwidth import CODE_FIELDS, first_error, fw_double, fw_int, header_fields
 
-XYZ = "struct<x:double,y:double,z:double>"
+#: Coordinate fields as they stand in a row.
+RAW = "struct<y:double,x:double,z:double>"
 #: Columns of an event, in order.
 EVENT_COLUMNS = (
     "path", "source_file", "source_line", "event", "zone", "map_level", "dmcode", "kind", "gtype", "pts", "center", "radius", "start_angle", "end_angle", "clockwise",
@@ -25,7 +26,7 @@ def raw_coordinates(rows: Column, dimensions: Column, count: Column) -> Column:
         row, at = F.get(rows, F.floor(i / per_row).cast("int")), ((i % per_row) * dimensions * 7).cast("int")
         return F.when(row.isNotNull(), F.struct(fw_double(row, at, 7).alias("y"), fw_double(row, at + 7, 7).alias("x"), F.when(dimensions == 3, fw_double(row, at + 14, 7)).alias("z")))
 
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count.cast("int") - 1), one)).otherwise(F.array().cast(f"array<{XYZ}>"))
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count.cast("int") - 1), one)).otherwise(F.array().cast(f"array<{RAW}>"))
 
 
 def placed(raw: Column, mesh: Column) -> Column:
@@ -51,8 +52,7 @@ def elements(records: DataFrame, encoding: str = "shift_jis") -> DataFrame:
     e = e.withColumn("_dims", F.when(F.col("_following").isin(0, 2), 2).when(F.col("_following").isin(3, 6), 3))
     count = F.greatest(F.col("_data_count"), F.lit(0))
     e = e.withColumn("_raw", F.when(F.col("_type").isin("1", "2", "3", "4", "6") & F.col("_dims").isNotNull(), raw_coordinates(F.col("rows"), F.col("_dims"), count)))
-    e = e.withColumn("_pts", placed(F.col("_raw"), F.col("mesh")))
-    e = e.withColumns({"_x": F.col("mesh.x") + fw_double(h, 42, 7) * F.col("mesh.unit"), "_y": F.col("mesh.y") + fw_double(h, 35, 7) * F.col("mesh.unit")})
+    e = e.withColumns({"_pts": placed(F.col("_raw"), F.col("mesh")), "_wrong": _coordinate_error(F.col("_raw"), F.col("_dims")), "_x": F.col("mesh.x") + fw_double(h, 42, 7) * F.col("mesh.unit"), "_y": F.col("mesh.y") + fw_double(h, 35, 7) * F.col("mesh.unit")})
     three = F.when(F.col("_type").isin("3", "4") & (F.size("_pts") == 3), G.circumcircle(*(F.get("_pts", F.lit(k)) for k in range(3))))
     e = e.withColumn("_circle", three)
     many = F.col("_type").isin("1", "2", "3", "4", "6")
@@ -65,7 +65,7 @@ def elements(records: DataFrame, encoding: str = "shift_jis") -> DataFrame:
             (F.col("_data_count").isNull(), "invalid data count"),
             (F.col("_type").isin("0", "9"), F.concat(F.lit("unsupported element type E"), F.col("_type"))),
             (many & F.col("_dims").isNull(), F.concat(F.lit("unsupported coordinate type "), F.col("_following").cast("string"))),
-            (many & _coordinate_error(F.col("_raw"), F.col("_dims")).isNotNull(), _coordinate_error(F.col("_raw"), F.col("_dims"))),
+            (many & F.col("_wrong").isNotNull(), F.col("_wrong")),
             (many & (F.size("_raw") == 0), "element contains no coordinates"),
             (F.col("_type").isin("3", "4") & (F.size("_pts") != 3), F.concat(F.lit("circle/arc requires 3 points, got "), F.size("_pts").cast("string"))),
             (F.col("_type").isin("3", "4") & F.col("_circle").isNull(), "circle points are collinear"),
@@ -103,12 +103,11 @@ def elements(records: DataFrame, encoding: str = "shift_jis") -> DataFrame:
 
 def events(records: DataFrame, encoding: str = "shift_jis") -> DataFrame:
     """Features, metadata and warnings of framed records, in one frame with ``event``."""
-    e = elements(records, encoding)
-    features = e.where("message is null").withColumns({"event": F.lit("feature"), "skipped": F.lit(False)})
-    wrong = e.where("message is not null").select("path", "source_file", "source_line", "message", F.lit(True).alias("skipped"), F.lit("warning").alias("event"))
+    bad = F.col("message").isNotNull()
+    e = elements(records, encoding).withColumns({"event": F.when(bad, "warning").otherwise("feature"), "skipped": bad})
     framing = records.select("path", "source_file", F.col("line").alias("source_line"), F.explode("warnings").alias("w")).select("path", "source_file", "source_line", "w.message", "w.skipped", F.lit("warning").alias("event"))
     metadata = records.where("tag = 'I '").select("path", "source_file", F.col("line").alias("source_line"), "zone", F.lit("metadata").alias("event"), F.lit(False).alias("skipped"))
-    out = features.unionByName(wrong, allowMissingColumns=True).unionByName(framing, allowMissingColumns=True).unionByName(metadata, allowMissingColumns=True)
+    out = e.unionByName(framing, allowMissingColumns=True).unionByName(metadata, allowMissingColumns=True)
     return out.select(*EVENT_COLUMNS)
 
 
