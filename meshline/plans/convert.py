@@ -10,6 +10,9 @@ import os
 import re
 import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -173,20 +176,30 @@ def to_tiles(spark: SparkSession, o: Options, gpkg: str, folder: str, work: str)
     return {"features": summary["features"], "warnings": 0, "skipped": 0, "layers": boxes.count(), "tiles": written["addressed"], "non_empty_tiles": done.where(F.length("data") > 0).count()}
 
 
+@contextmanager
+def staging(spark: SparkSession, local: str) -> Iterator[str]:
+    """A folder for staged tables, gone afterwards: in the shared folder the cluster names, or else in a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    folder = f"{shared.rstrip('/')}/convert-{uuid.uuid4().hex}" if shared else f"{local}/staged"
+    try:
+        yield folder
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def convert(spark: SparkSession, o: Options) -> dict[str, int]:
-    """Runs a conversion; the output appears whole or not at all."""
+    """Runs a conversion; the output appears whole or not at all. A GeoPackage that is read must lie where executors see it."""
     validate(o)
-    with tempfile.TemporaryDirectory(dir=os.path.dirname(os.path.abspath(o.output))) as work:
-        if o.format == "gpkg":
-            made = f"{work}/out.gpkg"
-            summary = to_geopackage(spark, o, made, work)
-            os.replace(made, o.output)
-            return summary
+    with tempfile.TemporaryDirectory(dir=os.path.dirname(os.path.abspath(o.output))) as local, staging(spark, local) as work:
         gpkg, counts = o.input, {"warnings": 0, "skipped": 0}
         if not is_geopackage(o.input):
-            gpkg = f"{work}/out.gpkg"
+            gpkg = f"{local}/out.gpkg"
             counts = to_geopackage(spark, o, gpkg, f"{work}/parsed")
-        folder = f"{work}/folder"
+        if o.format == "gpkg":
+            os.replace(gpkg, o.output)
+            return counts
+        folder = f"{local}/folder"
         os.makedirs(folder)
         summary = to_tiles(spark, o, gpkg, folder, f"{work}/tiled") | {k: counts[k] for k in ("warnings", "skipped")}
         if o.keep_gpkg:

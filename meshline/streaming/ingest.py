@@ -49,8 +49,11 @@ def ingest(spark: SparkSession, folder: str, output: str, checkpoint: str, zone:
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        found = batch.where("event = 'feature'")
-        _numbered(found, output, batch_id).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        found = batch.where("event = 'feature'").persist()  # counted and joined: framed once
+        try:
+            _numbered(found, output, batch_id).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        finally:
+            found.unpersist()
 
     writer = event_stream(spark, folder, zone, encoding).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -1,5 +1,7 @@
+import gzip
 import json
 import os
+import random
 import sqlite3
 
 import pytest
@@ -98,8 +100,7 @@ def test_streaming(spark, survey_folder, tmp_path):
     for name in ("a.dm", "b.dm"):
         (folder / name).write_bytes((survey_folder / name).read_bytes())
         q = ingest.ingest(spark, str(folder), out, str(tmp_path / "check"))
-        q.awaitTermination(120)
-        assert q.exception() is None
+        assert q.awaitTermination(600) and q.exception() is None
     rows = spark.read.parquet(out).where("dmcode = 6102").orderBy("user_id").collect()
     assert [(r["source_file"], r["user_id"]) for r in rows] == [("a.dm", 1), ("b.dm", 2)]
 
@@ -129,8 +130,9 @@ def test_clipping_and_simplifying():
 def test_archive_ids_and_leaves(tmp_path):
     assert [pmtiles.tile_id(0, 0, 0), pmtiles.tile_id(1, 0, 0), pmtiles.tile_id(1, 0, 1), pmtiles.tile_id(1, 1, 1), pmtiles.tile_id(1, 1, 0)] == [0, 1, 2, 3, 4]
     assert all(pmtiles.tile_of(pmtiles.tile_id(5, x, y)) == (5, x, y) for x in range(32) for y in range(32))
-    many = [(k * 3, bytes([k % 251, k // 251 % 251, k % 7])) for k in range(30_000)]
-    pressed = [(i, __import__("gzip").compress(b, mtime=0)) for i, b in many]
+    rng = random.Random(1)
+    many = [(k * 9 + rng.randrange(9), rng.randbytes(rng.randrange(1, 200))) for k in range(20_000)]
+    pressed = [(i, gzip.compress(b, mtime=0)) for i, b in many]
     pmtiles.assemble(pressed, str(tmp_path / "a.pmtiles"), {}, (0, 9), (0, 0, 1, 1), (0, 0, 1))
     head, _, tiles = pmtiles.read(str(tmp_path / "a.pmtiles"))
     assert head["leaf_bytes"] > 0 and tiles == dict(many)
