@@ -184,8 +184,8 @@ def generate(generator: str, name: Column, mm: Column, segs: Column, pts: Column
             thin = F.aggregate(centres, F.array().cast("array<double>"), lambda acc, d: F.when((F.size(acc) > 0) & (F.abs(d - F.element_at(acc, -1)) < LEAST), acc).otherwise(F.concat(acc, F.array(d))))
             outside = G.let(G.centroid(pts), lambda c: F.when(s["ty"] * (c["x"] - s["x"] - s["tx"] * s["len"] / 2) - s["tx"] * (c["y"] - s["y"] - s["ty"] * s["len"] / 2) < 0, 1.0).otherwise(-1.0))
             placed = lambda d: F.struct((s["x"] + s["tx"] * d).alias("x"), (s["y"] + s["ty"] * d).alias("y"), s["tx"].alias("tx"), s["ty"].alias("ty"))
-            made = F.transform(thin, lambda d: _piece(name, kind, _semicircle(placed(d), radius, outside)))
-            return F.when(s["len"] > radius * 2, made).otherwise(none)
+            made = lambda right: F.transform(thin, lambda d: G.let(placed(d), lambda q: _piece(name, kind, _semicircle(q, radius, right))))
+            return F.when(s["len"] > radius * 2, G.let(outside, made)).otherwise(none)
 
         return F.flatten(F.transform(G.longest_segments(pts), side))
     raise ValueError(f"unknown generator: {generator}")
