@@ -87,7 +87,7 @@ def digest(docs: DataFrame, min_chars: int = MIN_CHARS, min_lines: int = MIN_LIN
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256"])
 
-    return docs.select("doc_id", "text").join(removed(docs, stage, min_chars, min_lines), "doc_id", "left").select("doc_id", "text", "_gone").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").join(removed(docs, stage, min_chars, min_lines).hint("merge"), "doc_id", "left").select("doc_id", "text", "_gone").mapInArrow(run, schema)
 
 
 def clean(docs: DataFrame, min_chars: int = MIN_CHARS, min_lines: int = MIN_LINES) -> DataFrame:
@@ -101,7 +101,7 @@ def clean(docs: DataFrame, min_chars: int = MIN_CHARS, min_lines: int = MIN_LINE
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else block.column(c) for c in columns], columns)
 
     found = removed(docs.select("doc_id", "text"), stage, min_chars, min_lines)
-    return docs.join(found, "doc_id", "left").select(*columns, "_gone").mapInArrow(run, docs.schema)
+    return docs.join(found.hint("merge"), "doc_id", "left").select(*columns, "_gone").mapInArrow(run, docs.schema)
 
 
 #: The same in SQL: lines that occur earlier, alone or as part of a window of three lines that does.
