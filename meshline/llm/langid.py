@@ -79,7 +79,7 @@ def counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     def run(batches):
         held: dict[str, np.ndarray] = {}
-        for block in blocks(batches, limit=BLOCK_BYTES // 2):
+        for block in blocks(batches, limit=BLOCK_BYTES // 4):
             texts, langs = [x or "" for x in block.column("text").to_pylist()], block.column("lang").to_pylist()
             for lang in set(langs):
                 mine = [t for t, x in zip(texts, langs, strict=True) if x == lang]
@@ -141,7 +141,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     old = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches):
-        for block in blocks(batches, limit=BLOCK_BYTES // 2):
+        for block in blocks(batches, limit=BLOCK_BYTES // 4):
             langs, scores = shared.value.score([x or "" for x in block.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in old), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*old, "lang_pred", "score"])
 
