@@ -58,9 +58,9 @@ def segments(pts: Column) -> Column:
 
 def sample(segs: Column, distance: Column) -> Column:
     """x, y, tx, ty at a distance along the line; beyond its end, the end itself."""
-    inside = F.filter(segs, lambda s: distance <= s["end"])
     at = lambda s, d: F.struct((s["x"] + (s["x1"] - s["x"]) * (d / s["len"])).alias("x"), (s["y"] + (s["y1"] - s["y"]) * (d / s["len"])).alias("y"), s["tx"].alias("tx"), s["ty"].alias("ty"))
-    return F.when(F.size(inside) > 0, let(F.get(inside, F.lit(0)), lambda s: at(s, distance - s["start"]))).otherwise(let(F.get(segs, F.size(segs) - 1), lambda s: at(s, s["len"])))
+    inside = F.filter(segs, lambda s: distance <= s["end"])
+    return let(let(inside, lambda found: F.coalesce(F.get(found, F.lit(0)), F.get(segs, F.size(segs) - 1))), lambda s: at(s, F.least(distance - s["start"], s["len"])))
 
 
 def slice_line(segs: Column, start: Column, end: Column, least: float) -> Column:

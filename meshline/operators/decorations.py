@@ -191,17 +191,20 @@ def generate(generator: str, name: Column, mm: Column, segs: Column, pts: Column
     raise ValueError(f"unknown generator: {generator}")
 
 
-def decorate(features: DataFrame) -> DataFrame:
-    """The symbols of ``features`` (dmcode, kind, zone, map_level, dmfigtype, pts and, if there, user_id and source_file), one row each with deco_index from 1 per feature."""
+def decorate(features: DataFrame, codes: list[int] | None = None) -> DataFrame:
+    """The symbols of ``features`` (dmcode, kind, zone, map_level, dmfigtype, pts and, if there, user_id and source_file), one row each with deco_index from 1 per feature. With ``codes``, of those codes alone, by a smaller plan."""
+    chosen = [r for r in CATALOGUE if codes is None or r.code in codes]
     level = F.col("map_level").cast("double")
     made = F.array().cast(f"array<{PIECE}>")
-    for g in SIZES:
+    for g in dict.fromkeys(r.generator for r in chosen):
         made = F.when(F.col("generator") == g, generate(g, F.col("decoration"), F.col("mm"), F.col("_segs"), F.col("pts"), level)).otherwise(made)
     # Circles and arcs have no symbols; features that are none of the catalogue's never reach the expressions.
     plain = F.col("gtype").isin("line", "polygon") if "gtype" in features.columns else F.lit(True)
     rules = F.broadcast(catalogue(features.sparkSession))  # one row per rule, sixteen in all
     wanted = (F.col("kind") == F.col("source_kind")) & F.array_contains("levels", F.col("map_level").cast("int")) & ~F.col("dmfigtype").eqNullSafe(F.lit(SUPPRESSED))
     wanted = wanted & (F.col("only_figtype").isNull() | (F.col("dmfigtype") == F.col("only_figtype")))
+    if codes is not None:
+        plain = plain & F.col("dmcode").isin(*(r.code for r in chosen))
     rows = features.where(plain).join(rules, "dmcode").where(wanted).withColumn("_segs", G.segments(F.col("pts"))).withColumn("_pieces", made)
     cut = lambda p: F.coalesce(p["pts"], F.when(p["a"].isNotNull(), G.slice_line(F.col("_segs"), p["a"], p["b"], LEAST)))
     rows = rows.withColumn("_pieces", F.transform("_pieces", lambda p: F.struct(p["decoration"].alias("decoration"), p["kind"].alias("kind"), cut(p).alias("pts"))))

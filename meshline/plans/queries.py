@@ -227,8 +227,7 @@ def decoration_layer_keys(spark, d):
 
 
 def _ends(spark, d, codes: list[int]) -> DataFrame:
-    f = D.lines(spark, d).where(F.col("dmcode").isin(codes))
-    p = decorations.decorate(f)
+    p = decorations.decorate(D.lines(spark, d), codes)
     first, last = F.element_at("pts", 1), F.element_at("pts", -1)
     return p.select("id", "decoration", "deco_index", r6(first["x"]).alias("x0"), r6(first["y"]).alias("y0"), r6(last["x"]).alias("x1"), r6(last["y"]).alias("y1"))
 
@@ -282,7 +281,7 @@ def deco_arcs(spark, d):
 
 @query(f"""WITH {_sql_stations('6130', '2.75*mm', 'total', '3.5*mm')} SELECT id, round(px,6)+0.0 AS x, round(py,6)+0.0 AS y FROM sm""")
 def deco_points(spark, d):
-    p = decorations.decorate(D.lines(spark, d).where("dmcode = 6130")).where("deco_kind = 'point'")
+    p = decorations.decorate(D.lines(spark, d), [6130]).where("deco_kind = 'point'")
     return p.select("id", r6(F.get("pts", F.lit(0))["x"]).alias("x"), r6(F.get("pts", F.lit(0))["y"]).alias("y"))
 
 
@@ -299,7 +298,7 @@ def deco_major_dash(spark, d):
 @query()
 def deco_pipe(spark, d):
     p = D.polygons(spark, d).select("id", F.lit(4262).cast("long").alias("dmcode"), F.lit("polygon").alias("kind"), F.lit(8).alias("zone"), F.when(F.col("id") % 2 == 0, 2500).otherwise(5000).cast("long").alias("map_level"), F.lit(None).cast("long").alias("dmfigtype"), G.close_ring(F.col("pts")).alias("pts"))
-    return decorations.decorate(p).groupBy("id").agg(F.count("*").alias("n"))
+    return decorations.decorate(p, [4262]).groupBy("id").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {D.SQL_LINES}, deco AS (SELECT id, id%97 AS src FROM feat WHERE id%3=0) SELECT d.id FROM deco d WHERE NOT EXISTS (SELECT 1 FROM feat f WHERE f.id = d.src)")
