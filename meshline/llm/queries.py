@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meshline.llm import bpe, embeddings, langid, lines, media, minhash, packing, quality, substrings, suffixes
 from meshline.llm.common import id_bucket, table
+from meshline.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def vocabulary() -> str:
@@ -75,5 +76,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffixes": op9_suffixes,
     "op10_substrings": op10_substrings,
 }
-
-ORACLE_SQL: dict[str, str] = {"op3_lines": lines.ORACLE_SQL}
