@@ -192,3 +192,59 @@ def test_embedding_blocks(spark, monkeypatch):
     want = ((x @ x.T) >= 0.93).sum(axis=1) - 1
     found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).orderBy("vec_id").collect()
     assert [r["n_links"] for r in found] == want.tolist()
+
+
+def close_label(n, mean, size=64, seed=11):
+    """``n`` vectors with about ``mean`` as cosine of any two."""
+    rng = np.random.default_rng(seed)
+    centre, rest = rng.standard_normal(size), rng.standard_normal((n, size))
+    return np.sqrt(mean) * centre / np.linalg.norm(centre) + np.sqrt(1 - mean) * rest / np.sqrt(size)
+
+
+def plain_links(x, label):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.93) & (label[:, None] == label[None])
+    np.fill_diagonal(near, False)
+    least = np.arange(len(x))
+    while True:
+        lower = np.minimum(least, np.where(near, least[None], len(x)).min(axis=1))
+        if (lower == least).all():
+            return near.sum(axis=1), least
+        least = lower
+
+
+def embedding_rows(spark, x, label):
+    frame = spark.createDataFrame([(k, v, int(y)) for k, (v, y) in enumerate(zip(x.tolist(), label, strict=True))], "vec_id long, embedding array<double>, label int")
+    found = embeddings.near_duplicates(frame).orderBy("vec_id").collect()
+    return [r["n_links"] for r in found], [r["component_id"] for r in found]
+
+
+@pytest.mark.parametrize("mean", [0.85, 0.87, 0.88])
+def test_embeddings_of_a_close_label(spark, mean):
+    x, label = close_label(5000, mean), np.zeros(5000, dtype=int)
+    links, least = plain_links(x, label)
+    assert links.sum() > 1000
+    assert embedding_rows(spark, x, label) == (links.tolist(), least.tolist())
+
+
+def test_embeddings_in_buckets(spark, monkeypatch):
+    """A loose label goes through sign buckets, a close one beside it is compared whole; both in several blocks."""
+    monkeypatch.setattr(embeddings, "MOVE", 8)
+    monkeypatch.setattr(embeddings, "SPAN", 300)
+    monkeypatch.setattr(embeddings, "BLOCK", 50)
+    rng = np.random.default_rng(12)
+    loose = np.repeat(rng.standard_normal((500, 64)), 3, axis=0)
+    x = np.concatenate([loose + rng.standard_normal(loose.shape) * 0.2, close_label(700, 0.87)])
+    label = np.repeat([0, 1], [1500, 700])
+    stage = Stage(spark, "plan-test")
+    frame = spark.createDataFrame([(k, str(y), 1, v) for k, (v, y) in enumerate(zip(x.tolist(), label, strict=True))], "id long, label string, weight long, x array<double>")
+    depths = {r["label"]: r["depth"] for r in embeddings._plan(frame, stage).collect()}
+    assert depths["0"] > 0 and depths["1"] == 0
+    links, least = plain_links(x, label)
+    assert embedding_rows(spark, x, label) == (links.tolist(), least.tolist())
+
+
+def test_passes_hold_a_pair_at_the_threshold():
+    for depth in range(2, embeddings.BITS + 1, 2):
+        share = (1 - np.arccos(0.93) / np.pi) ** depth
+        assert (1 - share) ** embeddings.passes_for(depth) <= embeddings.MISS
