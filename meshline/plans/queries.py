@@ -595,7 +595,7 @@ def _tiled(spark, d):
     from meshline.operators import mvt
 
     f = tiles.project(D.lines(spark, d)).withColumns({"user_id": F.col("id"), "source_file": F.lit("a.dm"), "source_layer": F.concat(F.lit("dm_"), F.col("dmcode").cast("string"), F.lit("_line")), "table": F.lit("t"), "ord": F.col("id")})
-    return tiles.feature_tiles(mvt.tagged(f), (14, 16))
+    return tiles.feature_tiles(mvt.tagged(f))
 
 
 @query()
