@@ -17,10 +17,11 @@ component, block against block, which also counts pairs that no bucket held.
 Equal vectors of one label are one vector with a weight, so copies are never
 compared with each other.
 
-Edge cases: vectors that are null, zero, or hold a null, a non-finite number
-or another number of components than most do not link; neither do vectors
-without a label; rows that repeat a vec_id with the same vector are one; an
-empty table gives no rows.
+Edge cases: vectors that are null, zero, or hold a null or a non-finite number
+do not link; neither do vectors without a label; vectors of one label but
+another number of components are compared among themselves, as a label of
+their own; rows that repeat a vec_id with the same vector are one; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -63,11 +64,12 @@ def _keyed(vectors: DataFrame, turn: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                x = _units(_matrix(batch))
-                planes = np.random.default_rng([turn, 7919]).standard_normal((x.shape[1], BITS))
-                key = (x @ planes > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.int64())], [*batch.schema.names, "key"])
+            sizes = np.asarray(pa.compute.list_value_length(batch.column("x")))
+            for size in np.unique(sizes).tolist():
+                part = batch.filter(pa.array(sizes == size))
+                planes = np.random.default_rng([turn, 7919]).standard_normal((size, BITS))
+                key = (_units(_matrix(part)) @ planes > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key, pa.int64())], [*part.schema.names, "key"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
     return vectors.mapInArrow(run, f"{fields}, key long")
@@ -185,8 +187,8 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     stage = Stage(rows.sparkSession, "embeddings")
     x = F.col("embedding").cast("array<double>")
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    usual = rows.where("embedding is not null").groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    fit = rows.where(sound & (F.size("embedding") == (usual["size"] if usual else 0))).select("vec_id", F.col("label").cast("string").alias("label"), x.alias("x")).distinct()
+    label = F.concat_ws(":", F.size("embedding").cast("string"), F.col("label").cast("string"))
+    fit = rows.where(sound).select("vec_id", label.alias("label"), x.alias("x")).distinct()
     own = stage.write(fit, "sound")
     vectors = stage.write(own.groupBy("label", "x").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")).select("id", "label", "weight", "x"), "vectors")
     plan = _plan(vectors, stage)
@@ -201,7 +203,7 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     united = stage.write(components(edges, stage), "united")
     if turns:
         # Links inside each component, block against block.
-        links = links.unionByName(_compare(deep.join(united, deep["id"] == united["node"]), ["component"], BLOCK).select("id", "links"))
+        links = links.unionByName(_compare(deep.join(united, deep["id"] == united["node"]), ["component", "label"], BLOCK).select("id", "links"))
     linked = links.groupBy("id").agg(F.sum("links").alias("links"))
     per_vector = stage.write(vectors.join(linked, "id", "left").join(united, vectors["id"] == united["node"], "left").select("id", "label", "x", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "per-vector")
     mine = own.join(per_vector, ["label", "x"]).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))

@@ -248,3 +248,19 @@ def test_passes_hold_a_pair_at_the_threshold():
     for depth in range(2, embeddings.BITS + 1, 2):
         share = (1 - np.arccos(0.93) / np.pi) ** depth
         assert (1 - share) ** embeddings.passes_for(depth) <= embeddings.MISS
+
+
+@pytest.mark.parametrize("move", [embeddings.MOVE, 8])
+def test_embeddings_of_several_sizes(spark, monkeypatch, move):
+    """Vectors of each size link among themselves, in labels compared whole and in buckets."""
+    monkeypatch.setattr(embeddings, "MOVE", move)
+    rng = np.random.default_rng(13)
+    parts = [np.repeat(rng.standard_normal((150, size)), 2, axis=0) for size in (64, 48)]
+    parts = [p + rng.standard_normal(p.shape) * 0.1 for p in parts]
+    wide = np.zeros((600, 64))
+    wide[:300], wide[300:, :48] = parts
+    links, least = plain_links(wide, np.repeat([0, 1], 300))
+    assert links[300:].sum() > 200
+    rows = [(k, v.tolist(), 1) for k, v in enumerate([*parts[0], *parts[1]])]
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).orderBy("vec_id").collect()
+    assert ([r["n_links"] for r in found], [r["component_id"] for r in found]) == (links.tolist(), least.tolist())
