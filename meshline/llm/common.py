@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,12 +18,14 @@ BLOCK_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) a new local one."""
+    """The folder all executors share: spark.checkpoint.dir, or (only where that is unset and the driver is the one executor) a new local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return str(held.get())
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="meshline-")
         spark.sparkContext.setCheckpointDir(root)
     return str(root)
@@ -59,6 +62,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(name: str, columns: list[str]) -> str:
+    """``name``, made longer until none of ``columns`` has it: for internal columns beside those of a caller."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_found(docs: DataFrame, found: DataFrame, column: str) -> tuple[DataFrame, str]:
+    """Every row of ``docs`` with ``column`` of ``found`` for its doc_id (null where there is none), and the name it has there."""
+    name, key = spare(column, docs.columns), spare("_id", [*docs.columns, column])
+    right = found.select(F.col("doc_id").alias(key), F.col(column).alias(name)).hint("merge")
+    return docs.join(right, F.col("doc_id") == F.col(key), "left").drop(key), name
+
+
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; null ids fall in bucket 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))

@@ -44,13 +44,19 @@ def least_in_windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:m], ahead[width - 1 : width - 1 + m]) & low).astype(np.int64)
 
 
-def runs(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, anchor) of every run, from the hashes of a document's grams; ``width`` grams to a window."""
+def runs(grams: np.ndarray, width: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, anchor) of every run, from the hashes of a document's grams; ``width`` grams to a window; ``among``: which windows count."""
     at = least_in_windows(grams, width)
     if not len(at):
         return at, at, at
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return first, np.diff(np.append(first, len(at))), at[first]
+    change = np.concatenate([[True], at[1:] != at[:-1], [True]])
+    if among is None:
+        first = np.flatnonzero(change[:-1])
+        return first, np.diff(np.append(first, len(at))), at[first]
+    held = np.concatenate([[False], among, [False]])
+    first = np.flatnonzero(among & (change[:-1] | ~held[:-2]))
+    last = np.flatnonzero(among & (change[1:] | ~held[2:]))
+    return first, last - first + 1, at[first]
 
 
 def batch(columns: list, names: str) -> pa.RecordBatch:
@@ -59,20 +65,26 @@ def batch(columns: list, names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def classes(found: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """From all runs: those of repeated grams with their class's ``count`` and first member (``d``, ``at``); and the first member of each class (``several``: classes of its gram).
+def repeated(found: DataFrame, stage: Stage, tag: str = "") -> DataFrame:
+    """The runs whose anchor's gram occurs more than once.
 
     Counts are summed per task before they are dealt out, so no gram's runs
-    meet in one task; the join that brings counts back can be split.
+    meet in one task, and staged, so that the join that brings them back to
+    all runs can be split where one gram is hot.
     """
-    held = stage.write(found, "runs")
-    repeated = stage.write(held.groupBy("h").count().where("count > 1").select("h"), "repeated")
-    some = stage.write(held.join(repeated, "h", "left_semi"), "some")
-    stage.drop("runs", "repeated")
+    held = stage.write(found, f"runs{tag}")
+    grams = stage.write(held.groupBy("h").count().where("count > 1").select("h"), f"repeated{tag}")
+    some = stage.write(held.join(grams.hint("merge"), "h", "left_semi"), f"some{tag}")
+    stage.drop(f"runs{tag}", f"repeated{tag}")
+    return some
+
+
+def classes(some: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """From repeated runs: those of classes of several with their class's first member (``d``, ``at``); and the first member of each class (``several``: classes of its gram, more than one)."""
     kinds = stage.write(some.groupBy("h", "s").agg(F.count("*").alias("count"), F.min(F.struct("doc_id", "start", "n")).alias("first")), "classes")
-    several = kinds.groupBy("h").agg(F.count("*").alias("several")).where("several > 1")
-    first = stage.write(kinds.join(several, "h").select("h", "count", "several", "first.*"), "first")
-    many = kinds.where("count > 1").select("h", "s", F.col("first.doc_id").alias("d"), F.col("first.start").alias("at"))
-    whole = stage.write(some.join(many, ["h", "s"]).select("doc_id", "start", "n", "d", "at"), "whole")
-    stage.drop("some", "classes")
+    several = stage.write(kinds.groupBy("h").agg(F.count("*").alias("several")).where("several > 1"), "several")
+    first = stage.write(kinds.join(several.hint("merge"), "h").select("h", "count", "several", "first.*"), "first")
+    many = stage.write(kinds.where("count > 1").select("h", "s", F.col("first.doc_id").alias("d"), F.col("first.start").alias("at")), "many")
+    whole = stage.write(some.join(many.hint("merge"), ["h", "s"]).select("doc_id", "start", "n", "d", "at"), "whole")
+    stage.drop("classes", "several", "many")
     return whole, first

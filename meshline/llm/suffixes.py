@@ -1,9 +1,9 @@
 """Suffix-array dedup of bytes by two-stage sorting.
 
 Candidates first: a window of ``size`` bytes can only be repeated where its
-anchor's gram is (see ``repeats``); runs of windows whose whole spans are
-equal need no sorting. The spans of the other candidates, one of each kind,
-are dealt out by gram and their suffixes sorted, batch by batch:
+anchor's gram is (see ``repeats``); of runs of windows whose whole spans are
+equal one is sorted. The spans of the candidates, one of each kind, are dealt
+out by gram and their suffixes sorted, batch by batch:
 
 1. suffixes smaller than their successors are sorted directly, to a depth of
    ``size`` bytes;
@@ -11,13 +11,18 @@ are dealt out by gram and their suffixes sorted, batch by batch:
    least on: a suffix's predecessor goes to the end of its own bucket;
 3. neighbours whose common prefix has ``size`` bytes are repeated windows.
 
-A gram with very many kinds of runs would not fit a task; its windows are
-counted by 128-bit hashes instead, which Spark sums per task first.
+The kinds of a common gram may not fit a batch. They are sorted in batches
+wherever they lie, each batch gives its different windows in order, and these
+sorted runs are merged by ranges of the windows' bytes; equal neighbours in
+the merged order are repeated windows too. A window that very many share is
+one row of each batch.
 
 Edge cases: a null text is empty; a text shorter than ``size`` keeps all;
 a window that overlaps its own copy counts, in one document too; rows that
 repeat a doc_id are documents of their own in the search, and what is removed
-in one is removed in all of that id where it fits.
+in one is removed in all of that id where it fits; an empty table gives no
+rows; further columns may have any names. A text is held whole by one task,
+with about 60 bytes a byte beside it.
 """
 
 from __future__ import annotations
@@ -25,12 +30,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshline.llm import repeats
-from meshline.llm.common import Stage, blocks, bytes_of, mix64
+from meshline.llm.common import Stage, blocks, bytes_of, mix64, with_found
 from meshline.llm.substrings import keep_mask
 
 SIZE, GRAM = 400, 64
@@ -127,18 +133,31 @@ def suffix_order(text: bytes, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def repeated_windows(text: bytes, starts: np.ndarray, size: int) -> np.ndarray:
-    """Which of the windows at ``starts`` equal another of them."""
+def equal_windows(text: bytes, starts: np.ndarray, size: int) -> list[list[int]]:
+    """The windows at ``starts`` in the order of the suffix array, those that are equal together."""
     known = np.zeros(len(text), dtype=bool)
     known[starts] = True
     order = suffix_order(text, size)
     order = order[known[order]]
     hashes = rolling(np.frombuffer(text, dtype=np.uint8), size)
-    near = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    # Common prefixes of neighbours: bytes are compared where hashes agree.
+    near = (hashes[order[1:]] == hashes[order[:-1]]).tolist()
+    places = order.tolist()
+    out = [places[:1]]
+    for p, maybe in zip(places[1:], near, strict=True):
+        if maybe and text[p : p + size] == text[out[-1][0] : out[-1][0] + size]:
+            out[-1].append(p)
+        else:
+            out.append([p])
+    return out
+
+
+def repeated_windows(text: bytes, starts: np.ndarray, size: int) -> np.ndarray:
+    """Which of the windows at ``starts`` equal another of them."""
     same = np.zeros(len(text), dtype=bool)
-    for p, q in zip(order[near].tolist(), order[near + 1].tolist(), strict=True):
-        if text[p : p + size] == text[q : q + size]:
-            same[p] = same[q] = True
+    for group in equal_windows(text, starts, size):
+        if len(group) > 1:
+            same[group] = True
     return same[starts]
 
 
@@ -198,58 +217,114 @@ def _sorted_spans(segments: DataFrame, size: int) -> DataFrame:
     return segments.mapInArrow(run, SPANS)
 
 
-def _hashed_spans(segments: DataFrame, stage: Stage, size: int) -> DataFrame:
-    """The same for grams with very many kinds of runs, by counted hashes."""
-    schema = "a long, b long, doc_id long, start int, single int"
+def _merged_spans(segments: DataFrame, stage: Stage, size: int) -> DataFrame:
+    """The same for grams whose kinds do not fit a batch: windows sorted in batches, and the batches merged."""
+    schema = "w binary, doc_id long, start int, single int, count int"
 
-    def run(batches):
-        for block in blocks(batches, "segment"):
-            out: list[list] = [[] for _ in range(5)]
-            for doc, start, n, single, part in zip(*(block.column(c).to_pylist() for c in ("doc_id", "start", "n", "single", "segment")), strict=True):
-                b = np.frombuffer(b"".join(xxhash.xxh3_128_digest(part[k : k + size]) for k in range(n)), dtype=np.int64).reshape(-1, 2)
-                for column, v in zip(out, (b[:, 0], b[:, 1], np.full(n, doc), np.arange(start, start + n), np.full(n, single)), strict=True):
-                    column.append(v)
-            if out[0]:
-                yield repeats.batch([np.concatenate(c) for c in out], schema)
+    def batch(rows: list[tuple]):
+        text = b"".join(r[4] for r in rows)
+        base = np.cumsum([0] + [len(r[4]) for r in rows[:-1]])
+        starts = np.concatenate([np.arange(b, b + r[2]) for b, r in zip(base.tolist(), rows, strict=True)])
+        out: tuple[list, ...] = ([], [], [], [], [])
+        # Equal windows that are all in classes of several need no place; else one row has the count and the others theirs.
+        groups = equal_windows(text, starts, size)
+        row = np.searchsorted(base, [p for g in groups for p in g], side="right") - 1
+        k = 0
+        for group in groups:
+            count, mine = len(group), row[k : k + len(group)].tolist()
+            k += count
+            for j, (p, r) in enumerate(zip(group, mine, strict=True)):
+                doc, start, _, single, _ = rows[r]
+                if j == 0 or (single and count > 1):
+                    for column, v in zip(out, (text[p : p + size] if j == 0 else b"", doc, start + p - int(base[r]), single, count), strict=True):
+                        column.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    windows = stage.write(segments.mapInArrow(run, schema), "windows")
-    many = windows.groupBy("a", "b").count().where("count > 1").select("a", "b")
-    return windows.where("single = 1").join(many, ["a", "b"], "left_semi").select("doc_id", "start", F.lit(1).alias("n"))
+    def sort(batches):
+        held: list[tuple] = []
+        size_held = 0
+        for block in batches:
+            for row in zip(*(block.column(c).to_pylist() for c in ("doc_id", "start", "n", "single", "segment")), strict=True):
+                held.append(row)
+                size_held += len(row[4])
+                if size_held >= SORT_BYTES:
+                    yield batch(held)
+                    held, size_held = [], 0
+        if held:
+            yield batch(held)
+
+    def merge(batches):
+        last, waiting = None, None  # the window before, and its place while no equal one has been seen
+        for block in batches:
+            out: list[tuple] = []
+            for w, doc, start, single, count in zip(*(block.column(c).to_pylist() for c in ("w", "doc_id", "start", "single", "count")), strict=True):
+                if w != last:
+                    last, waiting = w, (doc, start, 1) if single and count == 1 else None
+                elif waiting or (single and count == 1):
+                    out += [x for x in (waiting, (doc, start, 1) if single and count == 1 else None) if x]
+                    waiting = None
+            yield repeats.batch([[r[k] for r in out] for k in range(3)], SPANS)
+
+    windows = stage.write(segments.mapInArrow(sort, schema), "windows")
+    inside = windows.where("count > 1 and single = 1").select("doc_id", "start", F.lit(1).alias("n"))
+    across = windows.where("w <> X''").repartitionByRange("w").sortWithinPartitions("w", F.desc("count"))
+    found = stage.write(inside.unionByName(across.mapInArrow(merge, SPANS)), "merged")
+    stage.drop("windows")
+    return found
 
 
 def removed(docs: DataFrame, stage: Stage, size: int = SIZE) -> DataFrame:
     """(doc_id, _spans array of (start, n)): runs of windows that also start anywhere else."""
-    whole, first = repeats.classes(find_runs(docs, size), stage)
+    whole, first = repeats.classes(repeats.repeated(find_runs(docs, size), stage), stage)
     asked = first.groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "n", (F.col("count") == 1).cast("int").alias("single"))).alias("asked"))
-    wide = first.where(F.col("several") > MOST_KINDS).select("h").distinct()
-    segments = stage.write(_segments(docs.select("doc_id", "text").join(asked, "doc_id"), size), "segments")
+    wide = stage.write(first.where(F.col("several") > MOST_KINDS).select("h").distinct(), "wide")
+    segments = stage.write(_segments(docs.select("doc_id", "text").join(asked.hint("merge"), "doc_id"), size), "segments")
     narrow = segments.join(wide, "h", "left_anti").repartition("h").sortWithinPartitions("h")
     spans = whole.select("doc_id", "start", "n")
     spans = spans.unionByName(stage.write(_sorted_spans(narrow, size), "sorted"))
-    spans = spans.unionByName(stage.write(_hashed_spans(segments.join(wide, "h", "left_semi"), stage, size), "hashed"))
-    stage.drop("segments", "windows", "first")
-    return stage.write(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_spans")), "spans")
+    if not wide.isEmpty():
+        spans = spans.unionByName(_merged_spans(segments.join(wide, "h", "left_semi"), stage, size))
+    found = stage.write(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_spans")), "spans")
+    stage.drop("some", "first", "wide", "segments", "whole", "sorted", "merged")
+    return found
 
 
-def dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``docs`` with _spans: one row for each of its rows, all its columns kept."""
-    stage = Stage(docs.sparkSession, "suffixes")
-    return docs.join(removed(docs, stage, size), "doc_id", "left")
+def _cut(batches, column: str, size: int):
+    """(block, whole bytes, mask of kept bytes) of each row in turn, block by block."""
+    for block in blocks(batches):
+        raws = bytes_of(block.column("text"))
+        yield block, [(raw, keep_mask(len(raw), spans, size)) for raw, spans in zip(raws, block.column(column).to_pylist(), strict=True)]
+
+
+def _kept(raw: bytes, keep: np.ndarray) -> bytes:
+    return raw if keep.all() else np.frombuffer(raw, dtype=np.uint8)[keep].tobytes()
 
 
 def digest(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and its remaining bytes as ``text``."""
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+    found, name = with_found(docs.select("doc_id", "text"), removed(docs, Stage(docs.sparkSession, "suffixes"), size), "_spans")
 
     def run(batches):
-        for block in blocks(batches):
-            out: list[list] = [[] for _ in range(5)]
-            for doc, raw, spans in zip(block.column("doc_id").to_pylist(), bytes_of(block.column("text")), block.column("_spans").to_pylist(), strict=True):
-                keep = keep_mask(len(raw), spans, size)
-                cut = np.concatenate([[True], keep])
-                kept = np.frombuffer(raw, dtype=np.uint8)[keep].tobytes()
-                for column, x in zip(out, (doc, len(raw), len(raw) - len(kept), int((~cut[1:] & cut[:-1]).sum()), hashlib.sha256(kept).hexdigest()), strict=True):
+        for block, rows in _cut(batches, name, size):
+            out: list[list] = [[] for _ in range(6)]
+            for doc, (raw, keep) in zip(block.column("doc_id").to_pylist(), rows, strict=True):
+                kept, cut = _kept(raw, keep), np.concatenate([[True], keep])
+                for column, x in zip(out, (doc, len(raw), len(raw) - len(kept), int((~cut[1:] & cut[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")), strict=True):
                     column.append(x)
             yield repeats.batch(out, schema)
 
-    return dedup(docs.select("doc_id", "text"), size).select("doc_id", "text", "_spans").mapInArrow(run, schema)
+    return found.select("doc_id", "text", name).mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """``docs`` with the repeated bytes cut from their texts, all its columns kept; a character of which bytes are cut goes whole. Texts with nothing to cut stay the same, nulls too."""
+    columns = docs.columns
+    found, name = with_found(docs, removed(docs, Stage(docs.sparkSession, "suffixes"), size), "_spans")
+
+    def run(batches):
+        for block, rows in _cut(batches, name, size):
+            texts = [t if t is None or keep.all() else _kept(raw, keep).decode(errors="ignore") for t, (raw, keep) in zip(block.column("text").to_pylist(), rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else block.column(c) for c in columns], columns)
+
+    return found.select(*columns, name).mapInArrow(run, docs.schema)
