@@ -1,16 +1,19 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut into chunks where a rolling hash of the bytes says so, so equal
-passages in different documents give equal chunks. A worker encodes each
-chunk once and keeps its result. A cut may fall inside a word: the join is
-repaired by taking back tokens on both sides until the window's ends are at
-white space, where the pre-tokenizer always splits and both encodings agree,
-and encoding that window anew.
+passages in different documents give equal chunks. Only chunks that a worker
+does not hold are encoded, all those of a block together; the others give
+their ids again. A cut may fall inside a word, so every join is repaired: a
+window over the join, with whole words of both chunks as margins, is encoded
+anew by the library, and its ids take the place of the join's when they agree
+with both chunks' own ids on the margins. Where they do not, the margins are
+doubled until they do; a text with a join that never agrees is encoded whole.
 
 Edge cases: null is the empty text and has no tokens; a text without white
 space is one window however long it is; special tokens' strings in a text are
-those tokens, as the library has it. Memory is bounded by the caches' sizes
-and the largest text.
+those tokens, as the library has it; every row of a repeated doc_id has its
+own result; an empty table gives no rows. Memory is bounded by the caches'
+sizes and the largest text.
 """
 
 from __future__ import annotations
@@ -18,13 +21,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from meshline.llm.common import blocks
+from meshline.llm.common import blocks, bytes_of
 
 #: Rolling hash: window and multiplier, chunk sizes in bytes.
 WINDOW, MULTIPLIER = 32, 0x5851F42D4C957F2D
@@ -108,10 +113,22 @@ class Merges:
         return [flat[k * width : k * width + 4 * c] for k, c in enumerate(counts)]
 
 
+class Chunk(NamedTuple):
+    """A chunk's part before its first white space, ids of its middle (None: it has no white space), part after its last; the middle's first and last words and their ids."""
+
+    head: str
+    ids: bytes | None
+    tail: str
+    first: str
+    first_ids: bytes
+    last: str
+    last_ids: bytes
+
+
 class Encoder:
-    """Exact ids of texts, by chunks and words that were seen before."""
+    """Exact ids of texts, by chunks that were seen before."""
 
-    def __init__(self, path: str, words: int = 500_000, chunks: int = 20_000):
+    def __init__(self, path: str, words: int = 500_000, chunks: int = 30_000, joins: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -119,10 +136,12 @@ class Encoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.merges = Merges(path)
-        self.most, self.most_chunks = words, chunks
+        self.most, self.most_chunks, self.most_joins = words, chunks, joins
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
-        self.chunks: dict[bytes, tuple[str, bytes | None, str]] = {}
+        self.chunks: dict[bytes, Chunk] = {}
+        self.joins: dict[str, bytes] = {}
+        self.encoded = 0  # chunks that were encoded, for tests
         self.tokens = [self.library.decode([i], skip_special_tokens=False).encode() for i in range(self.library.get_vocab_size(with_added_tokens=True))]
         self.decimals = [b"%d" % i for i in range(len(self.tokens))]
 
@@ -177,36 +196,85 @@ class Encoder:
 
     # Chunks.
 
-    def chunk(self, raw: bytes) -> tuple[str, bytes | None, str]:
-        """A chunk's part before its first white space, ids of its middle (None: it has no white space), part after its last."""
-        if (found := self.chunks.get(raw)) is None:
-            text = raw.decode().replace("\n", " ")
-            first, last = text.find(" "), text.rfind(" ")
-            if first < 0:
-                found = (text, None, "")
+    def learn(self, raws: Iterable[bytes]) -> None:
+        """Encodes the chunks that are not held, together. The oldest quarter of a full cache goes first."""
+        if len(self.chunks) > self.most_chunks:
+            for raw in list(islice(self.chunks, self.most_chunks // 4)):
+                del self.chunks[raw]
+        words: dict[bytes, tuple[str, list[str], str]] = {}
+        for raw in raws:
+            if raw not in self.chunks and raw not in words:
+                text = raw.decode().replace("\n", " ")
+                first, last = text.find(" "), text.rfind(" ")
+                words[raw] = (text[:first], text[first + 1 : last].split(" "), text[last + 1 :]) if first >= 0 else (text, [], "")
+        self.fill(set().union(*(w for _, w, _ in words.values())))
+        for raw, (head, middle, tail) in words.items():
+            ids = [self.words[w] for w in middle]
+            self.chunks[raw] = Chunk(head, b"".join(ids), tail, middle[0], ids[0], middle[-1], ids[-1]) if middle else Chunk(head, None, "", "", b"", "", b"")
+        self.encoded += len(words)
+
+    def _windows(self, windows: list[str]) -> None:
+        """Encodes windows over joins by the library, together."""
+        if len(self.joins) > self.most_joins:
+            self.joins.clear()
+        new = list(dict.fromkeys(w for w in windows if w not in self.joins))
+        for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
+            self.joins[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _widened(self, left: bytes | None, held: str, right: bytes | None) -> bytes | None:
+        """The ids of a join with ever more words of its chunks as margins; None if they never agree."""
+        before, after = (raw.decode().replace("\n", " ").split(" ")[1:-1] if raw else [] for raw in (left, right))
+        k = 1
+        while k < 2 * max(len(before), len(after)):
+            k *= 2
+            mine, theirs = before[-k:], after[:k]
+            ids = np.array(self.library.encode(" ".join([*mine, held, *theirs]), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            front, back = b"".join(map(self.word, mine)), b"".join(map(self.word, theirs))
+            if len(ids) >= len(front) + len(back) and ids.startswith(front) and ids.endswith(back):
+                return ids[len(front) : len(ids) - len(back)]
+        return None
+
+    def encode(self, raws: list[bytes]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit integers."""
+        parts = []
+        for raw in raws:
+            ends = [0, *cuts(raw), len(raw)]
+            parts.append([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+        self.learn(c for p in parts for c in p)
+        # Joins: from white space to white space, with a word of each side as margin.
+        plans, windows = [], []
+        for part in parts:
+            plan, held, left = [], [], None
+            for raw in [*part, None]:
+                chunk = self.chunks[raw] if raw is not None else None
+                if chunk is not None:
+                    held.append(chunk.head)
+                    if chunk.ids is None:
+                        continue
+                inside = "".join(held)
+                window = " ".join([*([self.chunks[left].last] if left else []), inside, *([chunk.first] if chunk else [])])
+                plan.append((left, inside, raw, window))
+                windows.append(window)
+                if chunk is not None:
+                    held, left = [chunk.tail], raw
+            plans.append(plan)
+        self._windows(windows)
+        return [self._joined(raw, plan) for raw, plan in zip(raws, plans, strict=True)]
+
+    def _joined(self, raw: bytes, plan: list[tuple[bytes | None, str, bytes | None, str]]) -> bytes:
+        out = []
+        for left, inside, right, window in plan:
+            front = self.chunks[left].last_ids if left else b""
+            back = self.chunks[right].first_ids if right else b""
+            ids = self.joins[window]
+            if len(ids) >= len(front) + len(back) and ids.startswith(front) and ids.endswith(back):
+                out.append(ids[len(front) : len(ids) - len(back)])
+            elif (ids := self._widened(left, inside, right)) is not None:
+                out.append(ids)
             else:
-                words = text[first + 1 : last].split(" ")
-                try:
-                    middle = b"".join(map(self.words.__getitem__, words))
-                except KeyError:
-                    middle = b"".join(map(self.word, words))
-                found = (text[:first], middle, text[last + 1 :])
-            if len(self.chunks) >= self.most_chunks:
-                self.chunks.clear()
-            self.chunks[raw] = found
-        return found
-
-    def encode(self, raw: bytes, cuts: list[int]) -> bytes:
-        """The ids of a text whose chunks end at ``cuts``."""
-        out, held, start = [], [], 0
-        for end in [*cuts, len(raw)]:
-            head, middle, tail = self.chunk(raw[start:end])
-            start = end
-            held.append(head)
-            if middle is not None:  # both ends of the window are at white space: the join is repaired
-                out += [self.word("".join(held)), middle]
-                held = [tail]
-        out.append(self.word("".join(held)))
+                return np.array(self.library.encode(raw.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            if right:
+                out.append(self.chunks[right].ids)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
@@ -275,12 +343,8 @@ def digests(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     def run(batches):
         e = encoder(path)
         for block in blocks(batches):
-            texts = [x or "" for x in block.column("text").to_pylist()]
-            raws = [x.encode() for x in texts]
-            e.fill(set().union(*(x.replace("\n", " ").split(" ") for x in texts)))
             counts, ids_sha, decoded_sha = [], [], []
-            for raw in raws:
-                ids = e.encode(raw, cuts(raw))
+            for ids in e.encode(bytes_of(block.column("text"))):
                 counts.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(b" ".join(map(e.decimals.__getitem__, memoryview(ids).cast("I")))).hexdigest())
                 decoded_sha.append(hashlib.sha256(e.decode(ids)).hexdigest())
@@ -300,8 +364,7 @@ def tokens(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         e = encoder(path)
         for block in blocks(batches):
-            raws = [(x or "").encode() for x in block.column("text").to_pylist()]
-            ids = [e.encode(raw, cuts(raw)) for raw in raws]
+            ids = e.encode(bytes_of(block.column("text")))
             yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([e.decode(x).decode() for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

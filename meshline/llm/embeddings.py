@@ -56,6 +56,8 @@ def _matrix(batch: pa.RecordBatch, column: str = "x") -> np.ndarray:
 
 
 def _units(x: np.ndarray) -> np.ndarray:
+    """Unit vectors; by way of the largest component, since squares of very large or small ones leave the range of doubles."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -207,4 +209,4 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     linked = links.groupBy("id").agg(F.sum("links").alias("links"))
     per_vector = stage.write(vectors.join(linked, "id", "left").join(united, vectors["id"] == united["node"], "left").select("id", "label", "x", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "per-vector")
     mine = own.join(per_vector, ["label", "x"]).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    return rows.join(mine, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return rows.select("vec_id").join(mine, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -1,21 +1,27 @@
-"""Line dedup over line-ID sequences by prefix doubling.
+"""Line dedup by the suffix array over line-ID sequences, made by prefix doubling.
 
 Every line has as its ID the place of its first occurrence. Suffixes of the
 documents' ID sequences are ranked by ever longer prefixes: the rank of a
 place at depth 2k comes from its ranks at depth k and at the place k lines
-on. A rank is the first place that has it, so places of equal rank are an
-interval of the suffix array whose common prefix has that depth, and a place
-that is not its own rank has an earlier copy. Only lines that occur more than
-once take part, and only repeated ranks go on, so rounds shrink.
-
-Removed are later copies: of single lines of at least ``min_chars``
-characters, and of runs of at least ``min_lines`` lines, short ones included.
-First means the smaller doc_id, or the smaller line number in one document.
+on, until no rank occurs twice. A rank is the first place that has it, so the
+places of one rank are an interval of the suffix array whose longest common
+prefix has that depth at least, and a place that is not its own rank has an
+earlier copy. Only ranks that occur more than once go on, so rounds shrink.
+
+Each place keeps the greatest depth at which it has an earlier copy. A run
+whose length lies between two depths is covered by two overlapping prefixes
+of the lesser one, so the prefixes of all its places together are the maximal
+repeated run. Removed are later copies: of single lines of at least
+``min_chars`` characters, and of runs of at least ``min_lines`` lines, short
+ones included. First means the smaller doc_id, or the smaller line number in
+one document.
 
 Edge cases: a null text has no lines and stays null; an empty text is one
 empty line; rows that repeat a doc_id are one document if their texts are
 equal, otherwise a line removed in one is removed in all of that id; a
-document whose lines all go keeps its row with an empty text here.
+document whose lines all go keeps its row with an empty text here; an empty
+table gives no rows; further columns may have any names. A text is held
+whole by one task.
 """
 
 from __future__ import annotations
@@ -24,58 +30,76 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshline.llm.common import Stage, blocks
+from meshline.llm.common import Stage, blocks, with_found
 
 MIN_CHARS, MIN_LINES = 20, 3
 _PLACE = ["doc_id", "i"]
 
 
 def _ranked(rows: DataFrame, keys: list[str], stage: Stage, tag: str, extra: list[str]) -> DataFrame:
-    """``rows`` whose keys occur more than once, with the first place (d, j) of their keys. Summed per task before it is dealt out."""
+    """``rows`` whose keys occur more than once, with the first place (d, j) of their keys.
+
+    Summed per task before it is dealt out, and staged, so that the join that
+    brings it back to all rows can be split where one line is hot.
+    """
+    rows = stage.write(rows, f"{tag}-rows")
     first = rows.groupBy(*keys).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("count")).where("count > 1").select(*keys, F.col("first.doc_id").alias("d"), F.col("first.i").alias("j"))
-    return stage.write(rows.join(first, keys).select(*_PLACE, *extra, "d", "j"), tag)
+    found = stage.write(rows.join(stage.write(first, f"{tag}-first").hint("merge"), keys).select(*_PLACE, *extra, "d", "j"), tag)
+    stage.drop(f"{tag}-rows", f"{tag}-first")
+    return found
 
 
-def _pairs(left: DataFrame, right: DataFrame, step: int) -> DataFrame:
-    """The rank of each place with the rank of the place ``step`` lines on."""
-    ahead = right.select("doc_id", (F.col("i") - step).alias("i"), F.col("d").alias("d2"), F.col("j").alias("j2"))
-    return left.select(*_PLACE, "d", "j").join(ahead, _PLACE).withColumnsRenamed({"d": "d1", "j": "j1"})
+def _pairs(ranks: DataFrame, step: int) -> DataFrame:
+    """The rank of each place with the rank of the place ``step`` lines on. A window holds the places of one document."""
+    on = Window.partitionBy("doc_id").orderBy("i").rangeBetween(step, step)
+    ahead = F.first(F.struct("d", "j")).over(on)
+    return ranks.select(*_PLACE, F.col("d").alias("d1"), F.col("j").alias("j1"), ahead.alias("ahead")).where("ahead is not null").select(*_PLACE, "d1", "j1", F.col("ahead.d").alias("d2"), F.col("ahead.j").alias("j2"))
 
 
 def removed(docs: DataFrame, stage: Stage, min_chars: int = MIN_CHARS, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, _gone array of line numbers)."""
+    """(doc_id, _gone array of (i, n)): places with an earlier copy and its length."""
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     # 128 bits of a line stand for it.
     ids = lines.select(*_PLACE, F.unhex(F.md5("line")).alias("id"), F.length("line").alias("chars"))
-    one = _ranked(stage.write(ids, "ids"), ["id"], stage, "depth1", ["chars"])
-    stage.drop("ids")
     later: Column = (F.col("doc_id") != F.col("d")) | (F.col("i") != F.col("j"))
-    gone = one.where(later & (F.col("chars") >= min_chars)).select(*_PLACE)
-    depth, ranks, keys = 1, one, ["d1", "j1", "d2", "j2"]
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)  # the last windows may overlap
-        ranks = _ranked(_pairs(ranks, ranks, step), keys, stage, f"depth{depth + step}", [])
-        depth += step
-    runs = ranks.where(later).select("doc_id", F.explode(F.sequence("i", F.col("i") + (min_lines - 1))).alias("i"))
-    return stage.write(gone.unionByName(runs).groupBy("doc_id").agg(F.array_sort(F.collect_set("i")).alias("_gone")), "gone")
-
-
-def _rest(text: str, gone: list[int] | None) -> tuple[list[str], int, int]:
+    depth, ranks, keys = 1, _ranked(ids, ["id"], stage, "depth1", ["chars"]), ["d1", "j1", "d2", "j2"]
+    tags = ["depth1"]
+    gone = ranks.where(later & ((F.col("chars") >= min_chars) | F.lit(min_lines <= 1))).select(*_PLACE, F.lit(1).alias("n"))
+    while not ranks.isEmpty():
+        if depth < min_lines < 2 * depth:  # the shortest runs that go, as two overlapping prefixes
+            least = _ranked(_pairs(ranks, min_lines - depth), keys, stage, f"depth{min_lines}", [])
+            gone = gone.unionByName(least.where(later).select(*_PLACE, F.lit(min_lines).alias("n")))
+            tags.append(f"depth{min_lines}")
+        ranks, depth = _ranked(_pairs(ranks, depth), keys, stage, f"depth{2 * depth}", []), 2 * depth
+        tags.append(f"depth{depth}")
+        if depth >= min_lines:
+            gone = gone.unionByName(ranks.where(later).select(*_PLACE, F.lit(depth).alias("n")))
+    longest = gone.groupBy(*_PLACE).agg(F.max("n").alias("n"))
+    found = stage.write(longest.groupBy("doc_id").agg(F.collect_list(F.struct("i", "n")).alias("_gone")), "gone")
+    stage.drop(*tags)
+    return found
+
+
+def _rest(text: str, gone: list[dict] | None) -> tuple[list[str], int, int]:
     """Kept lines, number of removed ones and of their runs."""
     lines = text.split("\n")
     if not gone:
         return lines, 0, 0
-    cut = np.zeros(len(lines) + 1, dtype=bool)
-    cut[1:][[g for g in gone if g < len(lines)]] = True
+    edges = np.zeros(len(lines) + 2, dtype=np.int64)
+    start = np.array([g["i"] for g in gone]) + 1
+    end = start + np.array([g["n"] for g in gone])
+    ok = end <= len(lines) + 1
+    np.add.at(edges, start[ok], 1)
+    np.add.at(edges, end[ok], -1)
+    cut = np.cumsum(edges[:-1]) > 0
     return [x for x, c in zip(lines, cut[1:].tolist(), strict=True) if not c], int(cut.sum()), int((cut[1:] & ~cut[:-1]).sum())
 
 
 def digest(docs: DataFrame, min_chars: int = MIN_CHARS, min_lines: int = MIN_LINES) -> DataFrame:
     """doc_id, n_lines, n_removed, n_runs (maximal removed runs), kept_sha256 (kept lines joined by line feeds) of every document."""
-    stage = Stage(docs.sparkSession, "lines")
     schema = "doc_id long, n_lines long, n_removed long, n_runs long, kept_sha256 string"
 
     def run(batches):
@@ -87,21 +111,22 @@ def digest(docs: DataFrame, min_chars: int = MIN_CHARS, min_lines: int = MIN_LIN
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "n_lines", "n_removed", "n_runs", "kept_sha256"])
 
-    return docs.select("doc_id", "text").join(removed(docs, stage, min_chars, min_lines).hint("merge"), "doc_id", "left").select("doc_id", "text", "_gone").mapInArrow(run, schema)
+    docs = docs.select("doc_id", "text")
+    found, _ = with_found(docs, removed(docs, Stage(docs.sparkSession, "lines"), min_chars, min_lines), "_gone")
+    return found.mapInArrow(run, schema)
 
 
 def clean(docs: DataFrame, min_chars: int = MIN_CHARS, min_lines: int = MIN_LINES) -> DataFrame:
     """``docs`` with the removed lines cut from their texts, all its columns kept."""
-    stage = Stage(docs.sparkSession, "lines")
     columns = docs.columns
+    found, name = with_found(docs, removed(docs.select("doc_id", "text"), Stage(docs.sparkSession, "lines"), min_chars, min_lines), "_gone")
 
     def run(batches):
         for block in blocks(batches):
-            texts = [text if not gone or text is None else "\n".join(_rest(text, gone)[0]) for text, gone in zip(block.column("text").to_pylist(), block.column("_gone").to_pylist(), strict=True)]
+            texts = [text if not gone or text is None else "\n".join(_rest(text, gone)[0]) for text, gone in zip(block.column("text").to_pylist(), block.column(name).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else block.column(c) for c in columns], columns)
 
-    found = removed(docs.select("doc_id", "text"), stage, min_chars, min_lines)
-    return docs.join(found.hint("merge"), "doc_id", "left").select(*columns, "_gone").mapInArrow(run, docs.schema)
+    return found.select(*columns, name).mapInArrow(run, docs.schema)
 
 
 #: The same in SQL: lines that occur earlier, alone or as part of a window of three lines that does.

@@ -3,15 +3,19 @@
 Documents become pieces of at most ``capacity`` tokens. Full pieces are
 sequences of their own. The others are dealt by a hash into shards of a few
 thousand pieces; each shard is packed by several islands, each a small
-population of packings. A generation crosses two parents: well-filled whole
-bins of one are injected into the other, bins that hold a duplicate are
-removed, and displaced pieces are put back best-fit, largest first. Between
-rounds each island gets its neighbour's elite. An island that has reached
-ceil(sum / capacity) bins is optimal and rests. In the end the badly filled
-bins of many shards are packed together again, until few shards are left.
+population of packings, the first best-fit decreasing. A generation crosses
+two parents: well-filled whole bins of one are injected into the other, bins
+that hold a duplicate are removed, and displaced pieces are put back
+best-fit, largest first. Between rounds each island gets its neighbour's
+elite. An island rests when its bins are as few as can be and all but one of
+them are full. In the end the bins of many shards that are not full are
+packed together again, with the bins as they are as one of the parents, until
+they are as few as can be, one shard holds them, or no fewer remain.
 
 Edge cases: a null or empty text is a piece of length 1 (the closing id); an
-empty table has no pieces; equal rows are packed as often as they stand.
+empty table has no pieces; equal rows, and rows that repeat a doc_id, are
+packed as often as they stand; further columns may have any names. One task
+holds one text and its ids, or one shard.
 """
 
 from __future__ import annotations
@@ -130,35 +134,40 @@ def cross(base: np.ndarray, donor: np.ndarray, lengths: np.ndarray, capacity: in
     return out
 
 
+def rests(bins: np.ndarray, lengths: np.ndarray, capacity: int) -> bool:
+    """Whether a packing has the least number of bins, all but one of them full."""
+    full = fills(bins, lengths)
+    return len(full) <= -(-int(lengths.sum()) // capacity) and int((full < capacity).sum()) <= 1
+
+
 def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, generations: int = GENERATIONS, size: int = POPULATION) -> list[np.ndarray]:
-    """The population after some generations, best first."""
+    """The population after some generations, best first. Its first member is best-fit decreasing's packing where ``population`` has no better one."""
     rng = np.random.default_rng(seed)
-    least = -(-int(lengths.sum()) // capacity)
-    if not population:
-        down = np.argsort(-lengths, kind="stable")
-        population = [best_fit(lengths, down, capacity)]
     rank = lambda packings: sorted(packings, key=lambda x: -fitness(x, lengths, capacity))
-    if population[0].max(initial=-1) + 1 > least:
-        while len(population) < size:
-            population.append(best_fit(lengths, np.argsort(-(lengths * rng.uniform(0.8, 1.25, len(lengths))), kind="stable"), capacity))
-    population = rank(population)[:size]
+    population = rank([*population, best_fit(lengths, np.argsort(-lengths, kind="stable"), capacity)])[:size]
+    if len(lengths) < 2 or rests(population[0], lengths, capacity):
+        return population
+    while len(population) < size:
+        population.append(best_fit(lengths, np.argsort(-(lengths * rng.uniform(0.8, 1.25, len(lengths))), kind="stable"), capacity))
+    population = rank(population)
     for _ in range(generations):
-        if population[0].max(initial=-1) + 1 <= least or len(population) < 2:
-            break
         children = []
         for _ in range(size):
             a, b = rng.choice(len(population), 2, replace=False)
             children.append(cross(population[a], population[b], lengths, capacity, rng))
         population = rank(population + children)[:size]
+        if rests(population[0], lengths, capacity):
+            break
     return population
 
 
 def _pack_shards(rows: DataFrame, stage: Stage, tag: str, capacity: int) -> DataFrame:
-    """``rows`` (shard, the keys) with ``bin`` and ``offset``."""
-    held = stage.write(rows.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct(F.negative("length").alias("less"), *_KEYS))).alias("items")), f"{tag}-shards")
-    lengths = held.select("shard", F.transform("items", lambda x: x["length"].cast("int")).alias("lengths"))
+    """``rows`` (shard, the keys, old) with ``bin``; ``old`` names the bin a piece was in before, or is null."""
+    item = F.struct(F.negative("length").alias("less"), *_KEYS, "old")
+    held = stage.write(rows.groupBy("shard").agg(F.array_sort(F.collect_list(item)).alias("items")), f"{tag}-shards")
+    lengths = held.select("shard", F.transform("items", lambda x: x["length"].cast("int")).alias("lengths"), F.transform("items", lambda x: x["old"]).alias("old"))
     state = lengths.select("*", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.array().cast("array<array<int>>").alias("packings"))
-    schema = "shard long, lengths array<int>, island int, packings array<array<int>>, bins int, score double"
+    schema = "shard long, lengths array<int>, old array<long>, island int, packings array<array<int>>, bins int, score double"
 
     def run(batches):
         for batch in batches:
@@ -166,41 +175,51 @@ def _pack_shards(rows: DataFrame, stage: Stage, tag: str, capacity: int) -> Data
                 row = batch.slice(k, 1)
                 shard, island = row.column("shard")[0].as_py(), row.column("island")[0].as_py()
                 n = np.asarray(row.column("lengths")[0].values, dtype=np.int64)
-                old = [np.asarray(x.values, dtype=np.int32) for x in row.column("packings")[0]]
-                new = evolve(n, old, capacity, seed=(shard * 1_000_003 + island * 101 + len(old)) % (1 << 63))
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([n.astype(np.int32)], pa.list_(pa.int32())), pa.array([island], pa.int32()), pa.array([[x.tolist() for x in new]], pa.list_(pa.list_(pa.int32()))), pa.array([int(new[0].max(initial=-1)) + 1], pa.int32()), pa.array([fitness(new[0], n, capacity)], pa.float64())], ["shard", "lengths", "island", "packings", "bins", "score"])
-
+                packings = [np.asarray(x.values, dtype=np.int32) for x in row.column("packings")[0]]
+                before = row.column("old")[0].values
+                if not packings and not before.null_count:
+                    packings = [np.unique(np.asarray(before), return_inverse=True)[1].astype(np.int32)]
+                new = evolve(n, packings, capacity, seed=(shard * 1_000_003 + island * 101 + len(packings)) % (1 << 63))
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([n.astype(np.int32)], pa.list_(pa.int32())), row.column("old"), pa.array([island], pa.int32()), pa.array([[x.tolist() for x in new]], pa.list_(pa.list_(pa.int32()))), pa.array([int(new[0].max(initial=-1)) + 1], pa.int32()), pa.array([fitness(new[0], n, capacity)], pa.float64())], ["shard", "lengths", "old", "island", "packings", "bins", "score"])
+
+    tags = [f"{tag}-shards"]
     for turn in range(ROUNDS):
-        state = stage.write(state.select("shard", "lengths", "island", "packings").mapInArrow(run, schema), f"{tag}-islands-{turn}")
+        state = stage.write(state.select("shard", "lengths", "old", "island", "packings").mapInArrow(run, schema), f"{tag}-islands-{turn}")
+        tags.append(f"{tag}-islands-{turn}")
         if turn + 1 < ROUNDS:  # elites migrate in a ring
             elite = state.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.slice("packings", 1, 1).alias("elite"))
             state = state.join(elite, ["shard", "island"]).withColumn("packings", F.concat("packings", "elite"))
     best = state.groupBy("shard").agg(F.max_by(F.element_at("packings", 1), F.struct("score", F.negative("island").alias("i"))).alias("bins"))
     placed = held.join(best, "shard").select("shard", F.explode(F.arrays_zip("items", "bins")).alias("x")).select("shard", *(F.col(f"x.items.{k}").alias(k) for k in _KEYS), F.col("x.bins").alias("bin"))
-    return stage.write(placed, f"{tag}-placed")
+    found = stage.write(placed, f"{tag}-placed")
+    stage.drop(*tags)
+    return found
 
 
 def pack(rows: DataFrame, stage: Stage, capacity: int = CAPACITY) -> DataFrame:
     """``rows`` (``PIECES``) with sequence_id and offset."""
     rows = stage.write(rows, "pieces")
-    whole = rows.where(F.col("length") >= capacity).select(*_KEYS, (-1 - F.monotonically_increasing_id()).alias("sequence_id"))
+    # The row's number is in the hash, so that rows of one id are dealt out too.
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    whole = rows.where(F.col("length") >= capacity).select(*_KEYS, (-1 - F.col("row")).alias("sequence_id"))
     part = rows.where(F.col("length") < capacity)
     n, turn, done = part.count(), 0, [whole]
     shards = max(1, -(-n // SHARD))
-    part = part.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    part = part.select(F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(shards)).alias("shard"), *_KEYS, F.lit(None).cast("long").alias("old"))
     while n:
         placed = _pack_shards(part, stage, f"pack{turn}", capacity)
-        fill = placed.groupBy("shard", "bin").agg(F.sum("length").alias("fill"))
-        named = placed.withColumn("sequence_id", F.lit(turn << 58).bitwiseOR(F.shiftleft("shard", 20)).bitwiseOR(F.col("bin").cast("long")))
-        if shards == 1:
-            done.append(named.select(*_KEYS, "sequence_id"))
+        name = F.lit(turn << 58).bitwiseOR(F.shiftleft("shard", 16)).bitwiseOR(F.col("bin").cast("long"))
+        named = placed.select(*_KEYS, name.alias("sequence_id"))
+        weak = stage.write(named.groupBy("sequence_id").agg(F.sum("length").alias("fill"), F.count("*").alias("n")).where(F.col("fill") < capacity).select("sequence_id", "fill", "n"), f"weak{turn}")
+        bins, fill, m = weak.agg(F.count("*"), F.sum("fill"), F.sum("n")).first()
+        if shards == 1 or bins <= -(-(fill or 0) // capacity) or (turn and 4 * m > 3 * n) or turn == 30:
+            done.append(named)
             break
-        # The badly filled bins of sixteen shards are packed together again.
-        weak = fill.where(F.col("fill") < F.lit(0.985 * capacity)).select("shard", "bin")
-        done.append(named.join(weak, ["shard", "bin"], "left_anti").select(*_KEYS, "sequence_id"))
-        shards, turn = -(-shards // 16), turn + 1
-        part = stage.write(placed.join(weak, ["shard", "bin"], "left_semi").select(F.pmod("shard", F.lit(shards)).alias("shard"), *_KEYS), f"weak{turn}")
-        n = part.count()
+        # Bins of all shards that are not full are packed together again.
+        done.append(named.join(weak, "sequence_id", "left_anti").select(*_KEYS, "sequence_id"))
+        n, shards, turn = m, max(1, -(-m // SHARD)), turn + 1
+        again = named.join(weak.select("sequence_id"), "sequence_id", "left_semi")
+        part = stage.write(again.select(F.pmod(F.xxhash64("sequence_id"), F.lit(shards)).alias("shard"), *_KEYS, F.col("sequence_id").alias("old")), f"part{turn}")
     every = done[0]
     for x in done[1:]:
         every = every.unionByName(x)
