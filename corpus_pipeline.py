@@ -2,6 +2,13 @@
 
 Each stage but the last returns the columns of documents; ``run`` writes each
 stage's rows as Parquet in the shared folder and rereads them for the next.
+
+Edge cases: a null text has no letter and goes in the first stage; a null
+doc_id is its own document, is never learned from and takes part in nothing
+that compares documents, but is kept and packed; rows that repeat a doc_id
+stay or go together and are packed as often as they stand; an empty table
+gives no sequences; further columns may have any names and are kept up to the
+last stage; ties go to the smaller doc_id.
 """
 
 from __future__ import annotations
@@ -10,11 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshline.llm import langid, lines, minhash, packing, substrings
-from meshline.llm.common import Stage, id_bucket, table
+from meshline.llm.common import Stage, id_bucket, spare, table
 from meshline.llm.queries import vocabulary
 
-#: A prediction below this (1/4 is a guess among four) rejects a document.
-LEAST_SCORE = 0.3
+#: A text whose n-grams are less likely than this, against those its language was learned from, is of no learned language.
+LEAST_FIT = -2.2
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -27,7 +34,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter or of no language that was learned."""
     columns = docs.columns
     model = langid.fit(docs.where(id_bucket("doc_id", 4) != 2))
-    return langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*columns)
+    lang, score, fit = (spare(c, columns) for c in ("lang_pred", "score", "fit"))
+    return langid.predict(docs, model, (lang, score, fit)).where((F.col(lang) != langid.UNKNOWN) & (F.col(fit) >= LEAST_FIT)).select(*columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
