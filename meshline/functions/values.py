@@ -26,11 +26,6 @@ def mm_on_map(mm: Column | float, level: Column) -> Column:
     return (F.lit(mm) if isinstance(mm, float | int) else mm) * level / 1000.0
 
 
-def zigzag(v: Column) -> Column:
-    v = v.cast("int")
-    return F.shiftleft(v, 1).bitwiseXOR(F.shiftright(v, 31))
-
-
 def round_away(v: Column) -> Column:
     """To the nearest whole number, halves away from zero."""
     return F.when(v >= 0, F.floor(v + 0.5)).otherwise(F.ceil(v - 0.5)).cast("int")

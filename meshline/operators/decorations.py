@@ -217,3 +217,9 @@ def with_source(decorated: DataFrame) -> DataFrame:
     """The lineage columns of a decoration table: its layer and its source's layer, id, file and code."""
     key = [F.col(c) for c in ("dmcode", "kind", "zone", "map_level")]
     return decorated.withColumns({"layer": names.layer_name(*key, F.col("deco_kind")), "src_layer": names.layer_name(*key), "src_user_id": F.col("user_id"), "src_dmfile": F.col("source_file"), "src_dmcode": F.col("dmcode")})
+
+
+def orphans(decorated: DataFrame, features: DataFrame) -> DataFrame:
+    """Decorations (with their source's columns) whose source is not among ``features`` (the columns of a layer's key and user_id)."""
+    layer = names.layer_name(*(F.col(c) for c in ("dmcode", "kind", "zone", "map_level")))
+    return decorated.join(features.select(layer.alias("src_layer"), F.col("user_id").alias("src_user_id")), ["src_layer", "src_user_id"], "left_anti")

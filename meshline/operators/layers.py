@@ -47,14 +47,3 @@ def checked_against(features: DataFrame, defined: DataFrame) -> DataFrame:
     """Features whose layer is not defined: their input has changed since the layers were found. Empty if all is well."""
     return features.join(defined.select(*KEY), [features[c].eqNullSafe(defined[c]) for c in KEY], "left_anti")
 
-
-def base_columns(features: DataFrame) -> DataFrame:
-    """Features as rows of their tables, in the order of the columns there; angle of points and texts alone, text columns of texts."""
-    text, angled = F.col("kind") == "text", F.col("kind").isin("text", "point")
-    upper = ("dmfigtype", "dmmove", "dmskip", "dmattr", "dmprec", "dmyymm", "dmregion", "dminfo", "dmelemid", "dmattrkind", "dmupyymm", "dmdelyymm")
-    return features.select(
-        names.layer_name(*map(F.col, KEY)).alias("layer"), *KEY, "pts", F.col("user_id").alias("USER_ID"), F.col("dmcode").alias("DM_CODE"), F.col("map_level").alias("LEVEL"),
-        *(F.col(c).alias(c.upper()) for c in upper), F.col("dmattrdata").alias("DMATTRDATA"), F.col("source_file").alias("DMFILE"),
-        F.when(angled, F.col("angle")).alias("ANGLE"), F.when(text, F.col("size")).alias("SIZE_"), F.when(text, F.col("char_spacing")).alias("CHARSPACING"),
-        F.when(text, F.col("line_no")).alias("LINENO"), F.when(text, F.col("vertical")).alias("VERTICAL_"), F.when(text, F.col("text")).alias("TEXT_"),
-    )

@@ -81,19 +81,6 @@ def inside(p: Column) -> Column:
     return p["x"].between(-BUFFER, EXTENT + BUFFER) & p["y"].between(-BUFFER, EXTENT + BUFFER)
 
 
-def clip_segment(a: Column, b: Column) -> Column:
-    """struct(x0, y0, x1, y1) of a segment inside the buffered tile, in whole units; null outside."""
-    low, high = float(-BUFFER), float(EXTENT + BUFFER)
-    ax, ay, dx, dy = (v.cast("double") for v in (a["x"], a["y"], b["x"] - a["x"], b["y"] - a["y"]))
-    sides = ((-dx, ax - low), (dx, F.lit(high) - ax), (-dy, ay - low), (dy, F.lit(high) - ay))
-    lower = F.greatest(F.lit(0.0), *(F.when(p < 0, q / p).otherwise(0.0) for p, q in sides))
-    upper = F.least(F.lit(1.0), *(F.when(p > 0, q / p).otherwise(1.0) for p, q in sides))
-    outside = F.lit(False)
-    for p, q in sides:
-        outside = outside | ((p == 0) & (q < 0))
-    return F.when(~outside & (lower <= upper), F.struct(round_away(ax + lower * dx).alias("x0"), round_away(ay + lower * dy).alias("y0"), round_away(ax + upper * dx).alias("x1"), round_away(ay + upper * dy).alias("y1")))
-
-
 def dataset_summary(layers: DataFrame) -> DataFrame:
     """One row: number of features, levels, source layers and bounds in degrees, from layers (layer, zone, map_level, features, envelope)."""
     corner = lambda x, y: projection.to_degrees(F.col("zone"), F.col(x), F.col(y))

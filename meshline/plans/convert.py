@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshline.functions import names, projection
-from meshline.functions import geometry as G
 from meshline.operators import decorations, features, layers, mvt, tiles
 from meshline.sinks import folders, geopackage, pmtiles
 from meshline.sources import geopackage as source
@@ -220,6 +219,3 @@ def exit_code(error: BaseException | None, s: dict[str, int] | None) -> int:
         return 3
     return 1 if s and s["skipped"] else 0
 
-
-def length_by_layer(base: DataFrame) -> DataFrame:
-    return base.groupBy(*layers.KEY).agg(F.sum(G.line_length(F.col("pts"))).alias("length"))

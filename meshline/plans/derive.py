@@ -63,6 +63,29 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 17 == 0, F.substring(text, 1, 40)).otherwise(text).alias("header"))
 
 
+def survey_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): survey files of 400 order numbers each, every order with items a line element. Some elements have a wrong code, record type or count."""
+    k, n = F.col("id"), F.size("pts")
+    rows = F.ceil(n / 6).cast("int")
+    place = lambda p: F.concat(F.lpad(p["y"].cast("int").cast("string"), 7, " "), F.lpad(p["x"].cast("int").cast("string"), 7, " "))
+    code = F.when(k % 11 == 0, "X100").otherwise((F.lit(2100) + k % 3).cast("string"))
+    header = F.concat(F.lit("E2"), code, F.lit(" " * 14), F.when(k % 13 == 0, " ").otherwise("2"), F.lit(" " * 6), F.when(k % 17 == 0, " " * 4).otherwise(F.lpad(n.cast("string"), 4, " ")), F.lpad(rows.cast("string"), 4, " "))
+    data = F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.array_join(F.transform(F.slice("pts", r * 6 + 1, F.lit(6)), place), ""))
+    padded = F.transform(F.concat(F.array(header), data), lambda x: F.rpad(x, 84, " "))
+    elements = lines(spark, sf_dir).select(F.floor(k / 400).cast("int").alias("file"), "id", F.array_join(padded, "\r\n").alias("text"))
+    f = F.col("file")
+    one = lambda *parts: F.rpad(F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)), 84, " ")
+    number = lambda v, width: F.lpad(v.cast("string"), width, "0")
+    sheet = F.array(
+        one("M ", number(f % 19 + 1, 2), "DF244", " " * 21, F.lpad(pick(LEVELS, f % 5).cast("string"), 5, " "), " " * 30, F.lpad((f % 3).cast("string"), 2, " ")),
+        one(" 100000 200000", " " * 30, "999"), one(" "),
+    )
+    revisions = F.flatten(F.transform(F.sequence(F.lit(0), (f % 3).cast("int")), lambda r: F.array(one(" " * 9, "0"), one(" " * 40, number(r + 12, 4), number(r + 34, 4)))))
+    whole = elements.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("e"))
+    text = F.array_join(F.concat(sheet, revisions, F.transform("e", lambda e: e["text"]), F.array(F.lit(""))), "\r\n")
+    return whole.select(F.format_string("/in/f%06d.dm", f).alias("path"), F.encode(text, "ISO-8859-1").alias("content"))
+
+
 #: The same in DuckDB.
 SQL_POINTS = """pts AS (SELECT c_custkey AS id, ((c_custkey*7919)%200001-100000)/10.0 AS x, ((c_custkey*104729)%200001-100000)/10.0 AS y, 1+c_custkey%19 AS zone,
  [500,1000,2500,5000,10000][1+c_custkey%5] AS level, CASE WHEN c_custkey%4<>0 THEN ((c_custkey*37)%720-360)::DOUBLE END AS angle FROM customer)"""
@@ -86,3 +109,11 @@ def sql_field(offset: int, width: int, kind: str = "BIGINT", line: str = "header
     pattern = "^[+-]?[0-9]+$" if kind == "BIGINT" else r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
     text = f"trim({line}[{offset + 1}:{offset + width}])"
     return f"CASE WHEN length({line}) >= {offset + width} AND regexp_matches({text}, '{pattern}') THEN try_cast({text} AS {kind}) END"
+
+
+#: The elements of ``survey_files``: element(id, file, line, n, rows, zone, level, ox, oy, message) and, in ``SQL_LINES``, their vertices.
+SQL_SURVEY = f"""{SQL_LINES}, own AS (SELECT id, (id//400)::INT AS file, max(n) AS n FROM vert GROUP BY id),
+ sheet AS (SELECT file, 1+file%19 AS zone, [500,1000,2500,5000,10000][1+file%5] AS level, 200000+(34+file%3)*u AS ox, 100000+(12+file%3)*u AS oy, 3+2*(1+file%3) AS head, format('f{{:06d}}.dm', file) AS source_file
+  FROM (SELECT DISTINCT file, CASE WHEN [500,1000,2500,5000,10000][1+file%5] < 2500 THEN 0.001 ELSE 0.01 END::DOUBLE AS u FROM own)),
+ element AS (SELECT own.*, ceil(n/6.0)::INT AS rows, sheet.* EXCLUDE (file), head + coalesce(sum(1+ceil(n/6.0)) OVER (PARTITION BY file ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) + 1 AS line,
+  CASE WHEN id%11=0 THEN 'invalid DMCODE' WHEN id%13=0 THEN 'invalid following record type' WHEN id%17=0 THEN 'invalid data count' END AS message FROM own JOIN sheet USING (file))"""

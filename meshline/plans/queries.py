@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +16,7 @@ from meshline.functions.fixedwidth import ELEMENT_FIELDS, first_error, fw_double
 from meshline.functions.text import japanese_count, vertical_text
 from meshline.operators import decorations, features, featurequery, layers, tiles
 from meshline.plans import derive as D
+from meshline.sources import survey
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,18 +94,44 @@ def fixed_width_errors(spark, d):
     return D.headers(spark, d).select(m.alias("message")).groupBy("message").agg(F.count("*").alias("n"))
 
 
-@query("""WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_id%5=0 THEN event_id%19+1 END AS mesh FROM events)
-SELECT event_id, last_value(mesh IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS mesh FROM e""")
+@query(f"WITH {D.SQL_SURVEY} SELECT source_file, line::BIGINT AS line, 'E2' AS tag, rows::INT AS n_rows, zone::INT AS zone, level::BIGINT AS level FROM element UNION ALL SELECT source_file, 1, 'M ', 0, zone::INT, level::BIGINT FROM sheet")
+def survey_records(spark, d):
+    """Survey files framed into records."""
+    return survey.frame(D.survey_files(spark, d)).select("source_file", "line", "tag", F.size("rows").cast("int").alias("n_rows"), "zone", "level")
+
+
+@query(f"""WITH {D.SQL_SURVEY}, ends AS (SELECT id, arg_min(x,n) AS ax, arg_min(y,n) AS ay, arg_max(x,n) AS bx, arg_max(y,n) AS by_ FROM vert GROUP BY id)
+SELECT source_file, line::BIGINT AS line, (2100+id%3)::BIGINT AS dmcode, zone::INT AS zone, level::BIGINT AS map_level, 'line' AS kind, n::INT AS vertices, round(ox+ax,6)+0.0 AS x0, round(oy+ay,6)+0.0 AS y0, round(ox+bx,6)+0.0 AS x1, round(oy+by_,6)+0.0 AS y1 FROM element JOIN ends USING (id) WHERE message IS NULL""")
+def survey_features(spark, d):
+    """Features of framed survey files, with coordinates from their mesh records."""
+    e = features.events(survey.frame(D.survey_files(spark, d))).where("event = 'feature'")
+    first, last = F.element_at("pts", 1), F.element_at("pts", -1)
+    return e.select("source_file", F.col("source_line").alias("line"), "dmcode", "zone", "map_level", "kind", F.size("pts").cast("int").alias("vertices"), r6(first["x"]).alias("x0"), r6(first["y"]).alias("y0"), r6(last["x"]).alias("x1"), r6(last["y"]).alias("y1"))
+
+
+@query(f"WITH {D.SQL_SURVEY} SELECT source_file, line::BIGINT AS line, message, true AS skipped FROM element WHERE message IS NOT NULL")
+def survey_warnings(spark, d):
+    """Warnings of elements whose fields are wrong; the first wrong field speaks."""
+    e = features.events(survey.frame(D.survey_files(spark, d))).where("event = 'warning'")
+    return e.select("source_file", F.col("source_line").alias("line"), "message", "skipped")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, CASE WHEN event_id%7=0 THEN 'I' WHEN event_id%5=0 THEN 'M' ELSE 'E' END AS tag, CASE WHEN (event_id%7=0 OR event_id%5=0) AND event_id%23 BETWEEN 1 AND 19 THEN event_id%23 END AS own FROM events),
+p AS (SELECT *, sum(CASE WHEN tag='I' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS part FROM e)
+SELECT event_id, first_value(own IGNORE NULLS) OVER (PARTITION BY user_id, part ORDER BY event_id ROWS UNBOUNDED PRECEDING)::INT AS zone FROM p""")
 def mesh_carry_forward(spark, d):
-    e = D.table(spark, d, "events").withColumn("mesh", F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 19 + 1))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("event_id", F.last("mesh", ignorenulls=True).over(w).alias("mesh"))
+    """The zone that holds at each record, over records made of events."""
+    k = F.col("event_id")
+    tag = F.when(k % 7 == 0, "I ").when(k % 5 == 0, "M ").otherwise("E2")
+    records = D.table(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), k.alias("line"), tag.alias("tag"), F.concat(tag, F.lpad((k % 23).cast("string"), 2, "0")).alias("header"))
+    return survey.carry_forward(records).select(F.col("line").alias("event_id"), F.col("zone_here").alias("zone"))
 
 
-@query("SELECT user_id, arg_max(event_id, (ts, event_id))::BIGINT AS last_event, (arg_max(event_id, (ts, event_id))%100*0.01)::DOUBLE AS fraction FROM events GROUP BY user_id")
+@query(f"WITH {D.SQL_SURVEY} SELECT source_file, (file%3+1)::INT AS revisions, round(ox,6)+0.0 AS x, round(oy,6)+0.0 AS y, 1.0::DOUBLE AS unit FROM sheet")
 def mesh_last_revision(spark, d):
-    g = D.table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"))
-    return g.withColumn("fraction", F.col("last_event") % 100 * 0.01)
+    """Of a mesh record with several revisions the last gives the origin."""
+    m = survey.frame(D.survey_files(spark, d)).where("tag = 'M '")
+    return m.select("source_file", (F.trim(F.substring("header", 66, 2)).cast("int") + 1).alias("revisions"), r6(F.col("mesh.x")).alias("x"), r6(F.col("mesh.y")).alias("y"), F.col("mesh.unit").alias("unit"))
 
 
 @query("""SELECT o_orderkey AS id, round(200000 + (o_custkey%1000)*0.001 + (o_orderkey%9999)*u,6)+0.0 AS x, round(100000 + (o_orderkey%1000)*f + (o_custkey%9999)*u,6)+0.0 AS y
@@ -172,10 +202,10 @@ def arc_linearize(spark, d):
     return a.select("id", F.posexplode("pts").alias("i", "p")).select("id", "i", r6(F.col("p.x")).alias("x"), r6(F.col("p.y")).alias("y"))
 
 
-@query("SELECT c_custkey AS id, i::INT AS i, round(c_custkey%50+(1+c_custkey%9)*cos(radians((i%72)*5.0)),6)+0.0 AS x, round((1+c_custkey%9)*sin(radians((i%72)*5.0)),6)+0.0 AS y FROM (SELECT c_custkey, unnest(range(73)) AS i FROM customer WHERE c_custkey%5=0)")
+@query("SELECT c_custkey AS id, i::INT AS i, round(c_custkey%50+(1+c_custkey%9)*cos(radians((i%72)*5.0)),6)+0.0 AS x, round((1+c_custkey%9)*sin(radians((i%72)*5.0)),6)+0.0 AS y FROM (SELECT c_custkey, unnest(range(73)) AS i FROM customer)")
 def circle_linearize(spark, d):
     k = F.col("c_custkey")
-    a = D.table(spark, d, "customer").where(k % 5 == 0).select(k.alias("id"), G.circle_points((k % 50).cast("double"), F.lit(0.0), k % 9 + 1.0).alias("pts"))
+    a = D.table(spark, d, "customer").select(k.alias("id"), G.circle_points((k % 50).cast("double"), F.lit(0.0), k % 9 + 1.0).alias("pts"))
     return a.select("id", F.posexplode("pts").alias("i", "p")).select("id", "i", r6(F.col("p.x")).alias("x"), r6(F.col("p.y")).alias("y"))
 
 
@@ -285,27 +315,61 @@ def deco_points(spark, d):
     return p.select("id", r6(F.get("pts", F.lit(0))["x"]).alias("x"), r6(F.get("pts", F.lit(0))["y"]).alias("y"))
 
 
-@query()
+_PART = """ov AS (SELECT b.id, b.k, b.part, b.a, b.b, c.n, c.x+(c.x1-c.x)*((greatest(b.a,c.e-c.len)-(c.e-c.len))/c.len) AS px, c.y+(c.y1-c.y)*((greatest(b.a,c.e-c.len)-(c.e-c.len))/c.len) AS py, c.x+(c.x1-c.x)*((least(b.b,c.e)-(c.e-c.len))/c.len) AS qx, c.y+(c.y1-c.y)*((least(b.b,c.e)-(c.e-c.len))/c.len) AS qy
+ FROM bits b JOIN cum c ON c.id=b.id AND least(b.b,c.e)-greatest(b.a,c.e-c.len) >= 0.01 WHERE b.b-b.a >= 0.01),
+ cut AS (SELECT id, k, part, arg_min(px,n) AS x0, arg_min(py,n) AS y0, arg_max(qx,n) AS x1, arg_max(qy,n) AS y1 FROM ov GROUP BY id, k, part)"""
+
+
+@query(f"""WITH {D.SQL_LINES}, t AS (SELECT f.id, total, map_level/1000.0::DOUBLE AS mm FROM feat f JOIN tot USING (id) WHERE dmcode=6130 AND {_TARGET}),
+st AS (SELECT *, unnest(generate_series(0, floor(total/(3.5*mm)+1e-9)::BIGINT)) AS k FROM t), bits AS (SELECT id, k, 0 AS part, k*(3.5*mm) AS a, least(k*(3.5*mm)+2.0*mm, total) AS b FROM st WHERE k*(3.5*mm) < total), {_PART},
+dashes AS (SELECT id, 'dash_segment' AS decoration, row_number() OVER (PARTITION BY id ORDER BY k) AS deco_index, x0, y0, x1, y1 FROM cut),
+dt AS (SELECT t.id, k, 2.75*mm+k*(3.5*mm) AS d FROM (SELECT *, unnest(generate_series(0, floor((total-2.75*mm)/(3.5*mm)+1e-9)::BIGINT)) AS k FROM t) t WHERE total >= 2.75*mm-1e-9*3.5*mm),
+dots AS (SELECT dt.id, k, c.x+(c.x1-c.x)*(least(d-(c.e-c.len),c.len)/c.len) AS px, c.y+(c.y1-c.y)*(least(d-(c.e-c.len),c.len)/c.len) AS py FROM dt JOIN cum c ON c.id=dt.id AND d<=c.e QUALIFY row_number() OVER (PARTITION BY dt.id, k ORDER BY c.n)=1),
+n AS (SELECT id, count(*) AS n FROM dashes GROUP BY id)
+SELECT id, decoration, deco_index::BIGINT AS deco_index, round(x0,6)+0.0 AS x0, round(y0,6)+0.0 AS y0, round(x1,6)+0.0 AS x1, round(y1,6)+0.0 AS y1 FROM dashes
+UNION ALL SELECT id, 'gap_circle', (coalesce(n,0)+k+1)::BIGINT, round(px,6)+0.0, round(py,6)+0.0, round(px,6)+0.0, round(py,6)+0.0 FROM dots LEFT JOIN n USING (id)""")
 def deco_dashes(spark, d):
     return _ends(spark, d, [6130])
 
 
-@query()
+@query(f"""WITH {D.SQL_LINES}, t AS (SELECT f.id, total, map_level/1000.0::DOUBLE AS mm FROM feat f JOIN tot USING (id) WHERE dmcode=1101 AND {_TARGET}),
+st AS (SELECT * FROM (SELECT *, unnest(generate_series(0, floor(total/(8.0*mm)+1e-9)::BIGINT)) AS k FROM t) WHERE k*(8.0*mm) < total), cy AS (SELECT *, k*(8.0*mm) AS d FROM st),
+bits AS (SELECT id, k, 0 AS part, d AS a, least(d+5.0*mm,total) AS b FROM cy UNION ALL SELECT id, k, 5, d+5.0*mm+1.3*mm, least(d+5.0*mm+1.3*mm+0.4*mm,total) FROM cy WHERE d+5.0*mm+1.3*mm < total), {_PART},
+br AS (SELECT id, k, mm, unnest([1,2]) AS part, unnest([135,225]) AS deg, d AS pos FROM cy UNION ALL SELECT id, k, mm, unnest([3,4]), unnest([45,315]), d+5.0*mm FROM cy WHERE d+5.0*mm <= total),
+sm AS (SELECT br.*, c.x+(c.x1-c.x)*(least(pos-(c.e-c.len),c.len)/c.len) AS px, c.y+(c.y1-c.y)*(least(pos-(c.e-c.len),c.len)/c.len) AS py, (c.x1-c.x)/c.len AS tx, (c.y1-c.y)/c.len AS ty FROM br JOIN cum c ON c.id=br.id AND pos<=c.e QUALIFY row_number() OVER (PARTITION BY br.id, k, part ORDER BY c.n)=1),
+every AS (SELECT id, k, part, CASE part WHEN 0 THEN 'major_dash' ELSE 'minor_dash' END AS decoration, x0, y0, x1, y1 FROM cut
+ UNION ALL SELECT id, k, part, 'major_dash_end', px, py, px+0.5*mm*(tx*cos(radians(deg))+ty*sin(radians(deg))), py+0.5*mm*(ty*cos(radians(deg))-tx*sin(radians(deg))) FROM sm)
+SELECT id, decoration, row_number() OVER (PARTITION BY id ORDER BY k, part)::BIGINT AS deco_index, round(x0,6)+0.0 AS x0, round(y0,6)+0.0 AS y0, round(x1,6)+0.0 AS x1, round(y1,6)+0.0 AS y1 FROM every""")
 def deco_major_dash(spark, d):
     return _ends(spark, d, [1101])
 
 
-@query()
+def _pipes(spark, d) -> DataFrame:
+    return D.polygons(spark, d).select("id", F.lit(4262).cast("long").alias("dmcode"), F.lit("polygon").alias("kind"), F.lit(8).alias("zone"), F.when(F.col("id") % 2 == 0, 2500).otherwise(5000).cast("long").alias("map_level"), F.lit(None).cast("long").alias("dmfigtype"), G.close_ring(F.col("pts")).alias("pts"))
+
+
+@query(f"""WITH {D.SQL_POLYGONS}, q AS (SELECT *, CASE WHEN id%2=0 THEN 2.5 ELSE 5.0 END::DOUBLE AS mm FROM poly),
+sides AS (SELECT id, mm, unnest([{{'n':0,'ax':x,'ay':y,'bx':x+w,'by_':y}},{{'n':1,'ax':x+w,'ay':y,'bx':x+w,'by_':y+h}},{{'n':2,'ax':x+w,'ay':y+h,'bx':x,'by_':y+h}},{{'n':3,'ax':x,'ay':y+h,'bx':x,'by_':y}}]) AS s, x+w/2 AS cx, y+h/2 AS cy FROM q WHERE id%2=0
+ UNION ALL SELECT id, mm, unnest([{{'n':0,'ax':x,'ay':y+h,'bx':x+w,'by_':y+h}},{{'n':1,'ax':x+w,'ay':y+h,'bx':x+w,'by_':y}},{{'n':2,'ax':x+w,'ay':y,'bx':x,'by_':y}},{{'n':3,'ax':x,'ay':y,'bx':x,'by_':y+h}}]), x+w/2, y+h/2 FROM q WHERE id%2=1),
+f AS (SELECT id, mm, s.n AS n, s.ax AS ax, s.ay AS ay, s.bx-s.ax AS dx, s.by_-s.ay AS dy, sqrt((s.bx-s.ax)*(s.bx-s.ax)+(s.by_-s.ay)*(s.by_-s.ay)) AS len, cx, cy FROM sides),
+top AS (SELECT *, dx/len AS tx, dy/len AS ty, row_number() OVER (PARTITION BY id ORDER BY len DESC, n) AS k, 0.1*mm AS r FROM f QUALIFY k <= 2),
+c AS (SELECT *, unnest(list_sort(list_filter([r, len/2-1.5*mm, len/2+1.5*mm, len-r], lambda v: v>=r AND v<=len-r))) AS d FROM top WHERE len > 2*r),
+o AS (SELECT *, lag(d) OVER (PARTITION BY id, k ORDER BY d) AS before FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, d) AS deco_index, CASE WHEN ty*(cx-ax-tx*len/2)-tx*(cy-ay-ty*len/2) < 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS side FROM o WHERE before IS NULL OR abs(d-before) >= 0.01)
+SELECT id, deco_index::BIGINT AS deco_index, round(ax+tx*(d-r),6)+0.0 AS x0, round(ay+ty*(d-r),6)+0.0 AS y0, round(ax+tx*d+ty*r*side,6)+0.0 AS x1, round(ay+ty*d-tx*r*side,6)+0.0 AS y1 FROM p""")
 def deco_pipe(spark, d):
-    p = D.polygons(spark, d).select("id", F.lit(4262).cast("long").alias("dmcode"), F.lit("polygon").alias("kind"), F.lit(8).alias("zone"), F.when(F.col("id") % 2 == 0, 2500).otherwise(5000).cast("long").alias("map_level"), F.lit(None).cast("long").alias("dmfigtype"), G.close_ring(F.col("pts")).alias("pts"))
-    return decorations.decorate(p, [4262]).groupBy("id").agg(F.count("*").alias("n"))
+    """First and middle point of each half disc outside the two longest sides."""
+    at = lambda k: F.element_at("pts", k)
+    return decorations.decorate(_pipes(spark, d), [4262]).select("id", "deco_index", r6(at(1)["x"]).alias("x0"), r6(at(1)["y"]).alias("y0"), r6(at(5)["x"]).alias("x1"), r6(at(5)["y"]).alias("y1"))
 
 
-@query(f"WITH {D.SQL_LINES}, deco AS (SELECT id, id%97 AS src FROM feat WHERE id%3=0) SELECT d.id FROM deco d WHERE NOT EXISTS (SELECT 1 FROM feat f WHERE f.id = d.src)")
+@query(f"""WITH {D.SQL_LINES}, t AS (SELECT f.id, f.dmcode, unnest(CASE WHEN dmcode=2205 THEN [1,2,3,4] ELSE [1,2] END) AS deco_index FROM feat f JOIN tot USING (id) WHERE dmcode IN (2203,2204,2205) AND {_TARGET})
+SELECT id, deco_index::BIGINT AS deco_index FROM t WHERE id%4=0""")
 def orphan_decorations(spark, d):
-    f = D.lines(spark, d).select("id")
-    deco = f.where(F.col("id") % 3 == 0).withColumn("src", F.col("id") % 97)
-    return deco.join(f.select(F.col("id").alias("src")), "src", "left_anti").select("id")
+    """Decorations whose source feature is not in its layer: a quarter of the features is left out of the layers."""
+    f = layers.with_user_ids(D.lines(spark, d).withColumns({"path": F.format_string("f%d.dm", F.col("id") % 7), "source_line": F.col("id"), "source_file": F.lit("f.dm")}))
+    deco = decorations.with_source(decorations.decorate(f, [2203, 2204, 2205]))
+    return decorations.orphans(deco, f.where("id % 4 <> 0")).select("id", "deco_index")
 
 
 # Projection and tiles.
@@ -378,14 +442,11 @@ def tile_local_coords(spark, d):
 c AS (SELECT *, greatest(0, CASE WHEN dx>0 THEN (-64-ax)/dx WHEN dx<0 THEN (4160-ax)/dx ELSE 0 END, CASE WHEN dy>0 THEN (-64-ay)/dy WHEN dy<0 THEN (4160-ay)/dy ELSE 0 END) AS lo, least(1, CASE WHEN dx>0 THEN (4160-ax)/dx WHEN dx<0 THEN (-64-ax)/dx ELSE 1 END, CASE WHEN dy>0 THEN (4160-ay)/dy WHEN dy<0 THEN (-64-ay)/dy ELSE 1 END) AS hi FROM s WHERE NOT (dx=0 AND (ax < -64 OR ax > 4160)) AND NOT (dy=0 AND (ay < -64 OR ay > 4160)))
 SELECT id, n::INT AS n, round(ax+lo*dx)::INT AS x0, round(ay+lo*dy)::INT AS y0, round(ax+hi*dx)::INT AS x1, round(ay+hi*dy)::INT AS y1 FROM c WHERE lo <= hi""")
 def clip_segments(spark, d):
-    unit = lambda p: F.struct(values.round_away(p["x"] * 150 - 3000).alias("x"), values.round_away(p["y"] * 150 - 2000).alias("y"))
-    s = D.lines(spark, d).select("id", F.posexplode(G.pairs(F.transform("pts", unit), lambda a, b: tiles.clip_segment(a, b))).alias("i", "c")).where("c is not null")
-    return s.select("id", (F.col("i") + 1).cast("int").alias("n"), "c.x0", "c.y0", "c.x1", "c.y1")
-
+    from meshline.operators import mvt
 
-@query("SELECT o_orderkey AS id, (xor(((o_orderkey%20001-10000)*2), CASE WHEN o_orderkey%20001-10000 < 0 THEN -1 ELSE 0 END))::INT AS z FROM orders")
-def zigzag_deltas(spark, d):
-    return D.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), values.zigzag(F.col("o_orderkey") % 20001 - 10000).alias("z"))
+    unit = lambda p: F.struct(values.round_away(p["x"] * 150 - 3000).alias("x"), values.round_away(p["y"] * 150 - 2000).alias("y"))
+    s = D.lines(spark, d).select("id", F.posexplode(G.pairs(F.transform("pts", unit), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("i", "s"))
+    return s.select("id", (F.col("i") + 1).cast("int").alias("n"), mvt.clip_segment(F.col("s.a.x"), F.col("s.a.y"), F.col("s.b.x"), F.col("s.b.y")).alias("c")).where("c.reach").select("id", "n", "c.x0", "c.y0", "c.x1", "c.y1")
 
 
 @query("SELECT c_custkey AS id, (x BETWEEN -64 AND 4160 AND y BETWEEN -64 AND 4160) AS inside FROM (SELECT c_custkey, (c_custkey*31)%5000-400 AS x, (c_custkey*17)%5000-400 AS y FROM customer)")
@@ -539,20 +600,6 @@ def style_expand_defaults(spark, d):
     return style.expand_defaults(style.rows(spark, doc), found).select("id", "source_layer")
 
 
-@query("SELECT n_name AS table_name, r_name AS region, (n_nationkey+6669)::INT AS srs_id FROM nation JOIN region ON n_regionkey=r_regionkey WHERE n_nationkey < 19")
-def catalog_join(spark, d):
-    n, r = D.table(spark, d, "nation"), D.table(spark, d, "region")
-    joined = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    srs = F.col("n_nationkey") + 6669
-    return joined.where(projection.epsg_to_zone(srs).isNotNull()).select(F.col("n_name").alias("table_name"), F.col("r_name").alias("region"), srs.cast("int").alias("srs_id"))
-
-
-@query(f"WITH {_ROWS} SELECT fid FROM r WHERE source_layer IN ('dm_2100_line','dm_2102_line')")
-def layer_allow_list(spark, d):
-    allowed = spark.createDataFrame([("dm_2100_line",), ("dm_2102_line",)], "source_layer string")
-    return _feature_rows(spark, d).join(allowed, "source_layer", "left_semi").select("fid")
-
-
 @query("SELECT count(*) FILTER (WHERE event_id%4<>0)::BIGINT AS features, count(*) FILTER (WHERE event_id%4=0)::BIGINT AS warnings, count(*) FILTER (WHERE event_id%8=0)::BIGINT AS skipped FROM events")
 def run_summary(spark, d):
     k = F.col("event_id")
@@ -589,6 +636,68 @@ def zone_validation(spark, d):
     return D.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), zone_or_null(F.col("c_custkey") % 23).alias("zone"))
 
 
+# Whole conversions and what they write.
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a file that executors read: in the shared folder, or in a local one where the driver is the one executor."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = shared.removeprefix("file:").replace("///", "/") if shared else tempfile.gettempdir()
+    folder = f"{folder}/meshline-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    return f"{folder}/{name}"
+
+
+def _converted(spark, d) -> str:
+    """Survey files on disk, converted to a GeoPackage."""
+    from meshline.plans import convert
+
+    out = _scratch(spark, "out.gpkg")
+    os.makedirs(f"{os.path.dirname(out)}/in")
+    for r in D.survey_files(spark, d).toLocalIterator():
+        with open(f"{os.path.dirname(out)}{r['path']}", "wb") as f:
+            f.write(r["content"])
+    convert.convert(spark, convert.Options(f"{os.path.dirname(out)}/in", out))
+    return out
+
+
+_CONVERTED = f"""{D.SQL_SURVEY}, whole AS (SELECT e.*, 2100+id%3 AS dmcode, 'dm_'||(2100+id%3)||'_line_'||lpad(zone::VARCHAR,2,'0')||'_'||level AS table_name FROM element e WHERE message IS NULL AND n > 0),
+ box AS (SELECT id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, arg_min(x,n) AS ax, arg_min(y,n) AS ay FROM vert GROUP BY id)"""
+
+
+@query(f"WITH {_CONVERTED} SELECT table_name, 'LINESTRING' AS geometry_type, (6668+zone)::INT AS srs_id, zone::INT AS zone, round(min(ox+x0),6)+0.0 AS min_x, round(max(ox+x1),6)+0.0 AS max_x, round(min(oy+y0),6)+0.0 AS min_y, round(max(oy+y1),6)+0.0 AS max_y FROM whole JOIN box USING (id) GROUP BY ALL")
+def catalog_join(spark, d):
+    """The catalogue of a converted file."""
+    from meshline.sources import geopackage
+
+    return geopackage.checked_catalog(spark, _converted(spark, d)).select("table_name", "geometry_type", "srs_id", "zone", *(r6(F.col(c)).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")))
+
+
+_GPKG_ROWS = f"""WITH {_CONVERTED} SELECT table_name, row_number() OVER (PARTITION BY table_name ORDER BY source_file, line)::BIGINT AS fid, row_number() OVER (PARTITION BY table_name ORDER BY source_file, line)::BIGINT AS user_id, dmcode::BIGINT AS dmcode, level::BIGINT AS level, source_file, n::INT AS vertices, round(ox+ax,6)+0.0 AS x0, round(oy+ay,6)+0.0 AS y0 FROM whole JOIN box USING (id)"""
+
+
+def _gpkg_rows(spark, d, tables: Callable | None = None) -> DataFrame:
+    from meshline.sources import geopackage
+
+    path = _converted(spark, d)
+    found = geopackage.features(spark, path, tables(geopackage.catalog(spark, path)) if tables else None)
+    p = F.get("geometry.pts", F.lit(0))
+    return found.select("table_name", "fid", F.col("USER_ID").alias("user_id"), F.col("DMCODE").alias("dmcode"), F.col("LEVEL").alias("level"), F.col("DMFILE").alias("source_file"), F.size("geometry.pts").cast("int").alias("vertices"), r6(p["x"]).alias("x0"), r6(p["y"]).alias("y0"))
+
+
+@query(_GPKG_ROWS)
+def gpkg_features(spark, d):
+    """Survey files written as a GeoPackage and read back."""
+    return _gpkg_rows(spark, d)
+
+
+@query(f"SELECT * FROM ({_GPKG_ROWS}) WHERE dmcode IN (2100, 2102)")
+def layer_allow_list(spark, d):
+    """The same of the allowed tables alone; others are not read."""
+    return _gpkg_rows(spark, d, lambda c: [r["table_name"] for r in c.where("layer.dmcode in (2100, 2102)").collect()])
+
+
 # Encoded tiles.
 
 def _tiled(spark, d):
@@ -617,3 +726,63 @@ def gpkg_blob_roundtrip(spark, d):
 
 
 ORACLE_SQL["gpkg_blob_roundtrip"] = "SELECT count(DISTINCT l_orderkey)::BIGINT AS rows, count(DISTINCT l_orderkey)::BIGINT AS equal, 0::BIGINT AS errors FROM lineitem"
+
+
+def _point_tiles(spark, d) -> DataFrame:
+    from meshline.operators import mvt
+
+    f = _mercator(spark, d).drop("x", "y").withColumns({"kind": F.lit("point"), "user_id": F.col("id"), "map_level": F.col("level"), "dmcode": F.lit(7100), "source_layer": F.lit("dm_7100_point"), "table": F.lit("t"), "ord": F.col("id")})
+    return mvt.tile_layers(tiles.feature_tiles(mvt.tagged(f)))
+
+
+_SHOWN = f"""WITH {D.SQL_POINTS}, {_DEG}, {_TILED}, v AS (SELECT ft.*, ((mx+{_H})/(2*{_H})*(1<<z)-x)*4096 AS fx, (({_H}-my)/(2*{_H})*(1<<z)-y)*4096 AS fy FROM ft JOIN merc USING (id)),
+u AS (SELECT id, z, x, y, (CASE WHEN fx>=0 THEN floor(fx+0.5) ELSE ceil(fx-0.5) END)::INT AS px, (CASE WHEN fy>=0 THEN floor(fy+0.5) ELSE ceil(fy-0.5) END)::INT AS py FROM v)
+SELECT z::INT AS z, x::INT AS x, y::INT AS y, 'dm_7100_point' AS source_layer, id::BIGINT AS id, pts.level::BIGINT AS level, (((90-angle)%360+360)%360)::DOUBLE AS rotation, px, py FROM u JOIN pts USING (id, id) WHERE px BETWEEN -64 AND 4160 AND py BETWEEN -64 AND 4160""".replace("USING (id, id)", "USING (id)").replace("SELECT z::INT AS z, x::INT AS x, y::INT AS y, 'dm", "SELECT u.z::INT AS z, u.x::INT AS x, u.y::INT AS y, 'dm")
+
+
+def _decoded(encoded: DataFrame) -> DataFrame:
+    from meshline.operators import mvt
+
+    tag = lambda k, kind: F.col("tags")[k].cast(kind)
+    return mvt.unpacked(encoded).select("z", "x", "y", "source_layer", tag("USER_ID", "long").alias("id"), tag("LEVEL", "long").alias("level"), tag("ROTATION", "double").alias("rotation"), "px", "py")
+
+
+@query(_SHOWN)
+def mvt_points(spark, d):
+    """Points encoded into tile layers of all zooms, and decoded."""
+    return _decoded(_point_tiles(spark, d))
+
+
+@query(_SHOWN)
+def pmtiles_points(spark, d):
+    """The same written as a tile archive and read back by byte ranges."""
+    from meshline.operators import mvt
+    from meshline.sinks import pmtiles
+    from meshline.sources import pmtiles as archive
+
+    path = _scratch(spark, "points.pmtiles")
+    pmtiles.write(mvt.tiles(_point_tiles(spark, d)).select("z", "x", "y", "data"), path, pmtiles.metadata("points", tiles.ZOOMS, (122.0, 20.0, 154.0, 46.0), ["dm_7100_point"]), (122.0, 20.0, 154.0, 46.0))
+    return _decoded(archive.tiles(spark, path))
+
+
+_LINE_DEG = _DEG.replace("FROM pts p)", "FROM lp p)")
+
+
+@query(f"""WITH {D.SQL_LINES}, lp AS (SELECT vert.id*1000+vert.n AS id, x, y, zone, map_level AS level FROM vert JOIN feat USING (id)), {_LINE_DEG},
+m AS (SELECT id//1000 AS id, id%1000 AS n, mx, my FROM merc), e AS (SELECT id, min(mx) AS x0, max(mx) AS x1, min(my) AS y0, max(my) AS y1 FROM m GROUP BY id),
+tl AS (SELECT id, z, unnest(generate_series(floor((x0-b+{_H})/(2*{_H})*(1<<z))::INT, floor((x1+b+{_H})/(2*{_H})*(1<<z))::INT)) AS x, y0, y1, b FROM (SELECT e.*, z, 2*{_H}/(1<<z)*64/4096 AS b FROM e, (SELECT unnest([14,15,16,17,18]) AS z))),
+ft AS (SELECT id, z, x, unnest(generate_series(floor(({_H}-y1-b)/(2*{_H})*(1<<z))::INT, floor(({_H}-y0+b)/(2*{_H})*(1<<z))::INT)) AS y FROM tl),
+w AS (SELECT ft.*, n, ((mx+{_H})/(2*{_H})*(1<<z)-x)*4096 AS fx, (({_H}-my)/(2*{_H})*(1<<z)-y)*4096 AS fy FROM ft JOIN m USING (id)),
+r AS (SELECT id, z, x, y, n, CASE WHEN fx>=0 THEN floor(fx+0.5) ELSE ceil(fx-0.5) END AS ax, CASE WHEN fy>=0 THEN floor(fy+0.5) ELSE ceil(fy-0.5) END AS ay FROM w),
+s AS (SELECT *, lead(ax) OVER o - ax AS dx, lead(ay) OVER o - ay AS dy FROM r WINDOW o AS (PARTITION BY id, z, x, y ORDER BY n)),
+c AS (SELECT *, greatest(0, CASE WHEN dx>0 THEN (-64-ax)/dx WHEN dx<0 THEN (4160-ax)/dx ELSE 0 END, CASE WHEN dy>0 THEN (-64-ay)/dy WHEN dy<0 THEN (4160-ay)/dy ELSE 0 END) AS lo, least(1, CASE WHEN dx>0 THEN (4160-ax)/dx WHEN dx<0 THEN (-64-ax)/dx ELSE 1 END, CASE WHEN dy>0 THEN (4160-ay)/dy WHEN dy<0 THEN (-64-ay)/dy ELSE 1 END) AS hi FROM s WHERE dx IS NOT NULL AND NOT (dx=0 AND (ax < -64 OR ax > 4160)) AND NOT (dy=0 AND (ay < -64 OR ay > 4160))),
+p AS (SELECT id, z, x, y, round(ax+lo*dx)::INT AS x0, round(ay+lo*dy)::INT AS y0, round(ax+hi*dx)::INT AS x1, round(ay+hi*dy)::INT AS y1 FROM c WHERE lo <= hi)
+SELECT z::INT AS z, x::INT AS x, y::INT AS y, id::BIGINT AS id, x0, y0, x1, y1 FROM p WHERE x0 <> x1 OR y0 <> y1""")
+def mvt_line_segments(spark, d):
+    """Lines encoded without simplification into tiles of all zooms, and decoded: the steps they draw."""
+    from meshline.operators import mvt
+
+    u = mvt.unpacked(mvt.tile_layers(_tiled(spark, d), tolerance=-1.0)).withColumn("id", F.col("tags")["USER_ID"].cast("long"))
+    o = Window.partitionBy("z", "x", "y", "id", "part").orderBy("n")
+    steps = u.select("z", "x", "y", "id", F.lag("px").over(o).alias("x0"), F.lag("py").over(o).alias("y0"), F.col("px").alias("x1"), F.col("py").alias("y1"))
+    return steps.where("x0 is not null and (x0 <> x1 or y0 <> y1)")

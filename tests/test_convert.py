@@ -4,6 +4,7 @@ import os
 import random
 import sqlite3
 
+import numpy as np
 import pytest
 from surveyfile import content, coordinates, element, line, mesh
 
@@ -120,10 +121,12 @@ def test_blobs():
 def test_clipping_and_simplifying():
     assert mvt.simplify([(0, 0), (50, 4), (100, 0)]) == [(0, 0), (100, 0)]
     assert mvt.simplify([(0, 0), (50, 5), (100, 0)]) == [(0, 0), (50, 5), (100, 0)]
-    assert mvt.clip_piece((-100, 10), (100, 10)) == ((-64, 10), (100, 10)) and mvt.clip_piece((-100, 10), (-70, 10)) is None
+    reach, ends = mvt.clip_pieces(*(np.array(v) for v in ((-100, -100), (10, 10), (100, -70), (10, 10))))
+    assert reach.tolist() == [True, False] and ends.tolist() == [[-64, 10, 100, 10]]
     assert mvt.clip_ring([(-100, -100), (5000, -100), (5000, 5000), (-100, 5000), (-100, -100)]).__len__() == 4
-    assert mvt.shapes("polygon", [(0, 0), (0, 10), (10, 10), (10, 0)]) == [[(10, 0), (10, 10), (0, 10), (0, 0)]]
-    assert mvt.shapes("polygon", [(0, 0), (5, 5), (10, 10)]) == [] and mvt.shapes("point", [(4161, 0)]) == []
+    drawn = [("polygon", [(0, 0), (0, 10), (10, 10), (10, 0)]), ("polygon", [(0, 0), (5, 5), (10, 10)]), ("point", [(4161, 0)]), ("line", [(0, 0), (0, 100), (9000, 100), (9000, 200), (0, 200)]), ("text", [(3, 4)])]
+    flat = np.array([p for _, pts in drawn for p in pts])
+    assert mvt.shapes([k for k, _ in drawn], flat[:, 0], flat[:, 1], np.array([len(p) for _, p in drawn])) == [[[(10, 0), (10, 10), (0, 10), (0, 0)]], [], [], [[(0, 0), (0, 100), (4160, 100)], [(4160, 200), (0, 200)]], [[(3, 4)]]]
     assert mvt.commands("line", [[(2, 2), (2, 10)]]) == [9, 4, 4, 10, 0, 16]
 
 
