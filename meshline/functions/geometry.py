@@ -43,45 +43,6 @@ def line_length(pts: Column) -> Column:
     return total(pairs(pts, lambda a, b: hypot(b["x"] - a["x"], b["y"] - a["y"])))
 
 
-def segments(pts: Column) -> Column:
-    """Segments of some length: start x, y, unit vector tx, ty, length, distances start and end along the line."""
-    raw = F.filter(pairs(pts, lambda a, b: F.struct(a["x"].alias("x"), a["y"].alias("y"), b["x"].alias("x1"), b["y"].alias("y1"), hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("len"))), lambda s: s["len"] >= EPSILON)
-    lengths = F.transform(raw, lambda s: s["len"])
-    return F.transform(
-        raw,
-        lambda s, i: let(
-            total(F.slice(lengths, F.lit(1), i)),
-            lambda start: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["x1"].alias("x1"), s["y1"].alias("y1"), ((s["x1"] - s["x"]) / s["len"]).alias("tx"), ((s["y1"] - s["y"]) / s["len"]).alias("ty"), s["len"].alias("len"), start.alias("start"), (start + s["len"]).alias("end")),
-        ),
-    )
-
-
-def sample(segs: Column, distance: Column) -> Column:
-    """x, y, tx, ty at a distance along the line; beyond its end, the end itself."""
-    at = lambda s, d: F.struct((s["x"] + (s["x1"] - s["x"]) * (d / s["len"])).alias("x"), (s["y"] + (s["y1"] - s["y"]) * (d / s["len"])).alias("y"), s["tx"].alias("tx"), s["ty"].alias("ty"))
-    inside = F.filter(segs, lambda s: distance <= s["end"])
-    return let(let(inside, lambda found: F.coalesce(F.get(found, F.lit(0)), F.get(segs, F.size(segs) - 1))), lambda s: at(s, F.least(distance - s["start"], s["len"])))
-
-
-def slice_line(segs: Column, start: Column, end: Column, least: float) -> Column:
-    """The part of a line between two distances, without pieces or steps shorter than ``least``; null if nothing is left."""
-    overlap = F.filter(segs, lambda s: F.least(end, s["end"]) - F.greatest(start, s["start"]) >= least)
-    on = lambda s, d: point(s["x"] + (s["x1"] - s["x"]) * ((d - s["start"]) / s["len"]), s["y"] + (s["y1"] - s["y"]) * ((d - s["start"]) / s["len"]))
-    ends = F.flatten(F.transform(overlap, lambda s: F.array(on(s, F.greatest(start, s["start"])), on(s, F.least(end, s["end"])))))
-    empty = F.array().cast(f"array<{POINT}>")
-    far = lambda acc, p: (F.abs(F.element_at(acc, -1)["x"] - p["x"]) >= least) | (F.abs(F.element_at(acc, -1)["y"] - p["y"]) >= least)
-    thin = F.aggregate(ends, empty, lambda acc, p: F.when(F.size(acc) == 0, F.array(p)).when(far(acc, p), F.concat(acc, F.array(p))).otherwise(acc))
-    return F.when((end - start >= least) & (F.size(thin) >= 2), thin)
-
-
-def rotated(tx: Column, ty: Column, degrees: float) -> tuple[Column, Column]:
-    """A vector turned clockwise."""
-    import math
-
-    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
-    return tx * c + ty * s, ty * c - tx * s
-
-
 def close_ring(pts: Column) -> Column:
     first, last = F.element_at(pts, 1), F.element_at(pts, -1)
     return F.when(F.size(pts) == 0, pts).when((first["x"] == last["x"]) & (first["y"] == last["y"]), pts).otherwise(F.concat(pts, F.array(first)))
@@ -157,12 +118,6 @@ def arc_points(cx: Column, cy: Column, radius: Column, start: Column, sweep: Col
     return F.transform(F.sequence(F.lit(0), n), lambda i: let(F.radians(start + sweep * (i / n)), lambda t: point(cx + radius * F.cos(t), cy + radius * F.sin(t))))
 
 
-def longest_segments(pts: Column, n: int = 2) -> Column:
-    """The longest segments, longest first, the earlier of equals."""
-    numbered = F.transform(segments(pts), lambda s, i: F.struct((-s["len"]).alias("less"), i.alias("i"), s.alias("s")))
-    return F.transform(F.slice(F.array_sort(numbered), 1, n), lambda x: x["s"])
-
-
 def distinct_neighbours(values: Column) -> Column:
     """Without values equal to the one before; the last and the first are not compared."""
     return F.filter(values, lambda v, i: (i == 0) | ~v.eqNullSafe(F.get(values, i - 1)))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshline.functions import geometry as G
-from meshline.functions import names, projection, values
+from meshline.functions import names, polyline, projection, values
 from meshline.functions.fixedwidth import ELEMENT_FIELDS, first_error, fw_double, header_fields, zone_or_null
 from meshline.functions.text import japanese_count, vertical_text
 from meshline.operators import decorations, features, featurequery, layers, tiles
@@ -224,14 +224,14 @@ def line_measures(spark, d):
 
 @query(f"WITH {D.SQL_LINES} SELECT id, n::INT AS n, round(len,6)+0.0 AS len, round(e,6)+0.0 AS reached FROM cum")
 def cumulative_distance(spark, d):
-    s = D.lines(spark, d).select("id", F.posexplode(G.segments(F.col("pts"))).alias("i", "s"))
-    return s.select("id", (F.col("i") + 1).cast("int").alias("n"), r6(F.col("s.len")).alias("len"), r6(F.col("s.end")).alias("reached"))
+    s = polyline.segments(D.lines(spark, d).select("id", "pts"))
+    return s.select("id", "n", r6(F.col("len")).alias("len"), r6(F.col("reached")).alias("reached"))
 
 
 @query(f"WITH {D.SQL_LINES}, r AS (SELECT id, n, len, row_number() OVER (PARTITION BY id ORDER BY len DESC, n) AS k FROM cum) SELECT id, k::INT AS k, round(len,6)+0.0 AS len FROM r WHERE k <= 2")
 def long_side_top2(spark, d):
-    s = D.lines(spark, d).select("id", F.posexplode(G.longest_segments(F.col("pts"))).alias("k", "s"))
-    return s.select("id", (F.col("k") + 1).cast("int").alias("k"), r6(F.col("s.len")).alias("len"))
+    s = polyline.segments(D.lines(spark, d).select("id", "pts")).where("place <= 2")
+    return s.select("id", F.col("place").alias("k"), r6(F.col("len")).alias("len"))
 
 
 @query("WITH v AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT user_id, count(*) FILTER (WHERE before IS DISTINCT FROM event_type)::INT AS n FROM v GROUP BY user_id")

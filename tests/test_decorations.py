@@ -87,3 +87,13 @@ def test_semicircles_and_triangles(pieces):
 
 def test_levels_and_suppression(pieces):
     assert not pieces[6102, 10000, None] and not pieces[6102, 2500, 99]
+
+
+def test_a_long_line(spark):
+    """Ten thousand vertices and as many symbols, in time linear in both."""
+    line = [(float(k), float(k % 2)) for k in range(10_001)]
+    rows = [(1, 6102, "line", 8, 2500, None, line), (2, 6130, "line", 8, 2500, None, line), (3, 1101, "line", 8, 2500, None, line)]
+    found = decorations.decorate(spark.createDataFrame(rows, SCHEMA)).groupBy("id").count().collect()
+    counts = {r["id"]: r["count"] for r in found}
+    total = 10_000 * 2**0.5
+    assert counts[1] == int((total - 2.5) // 2.5) + 1 and counts[2] == int(total // 8.75) + 1 + int((total - 6.875) // 8.75) + 1 and counts[3] > 6 * total / 20 - 7
