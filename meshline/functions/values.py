@@ -74,6 +74,20 @@ def content_type(path: Column) -> Column:
     return out
 
 
+def route(path: Column, prefixes: dict[str, str]) -> Column:
+    """struct(root, rest) of a request's path by the longest prefix it begins with; null where it has none."""
+    out = F.lit(None).cast("struct<root:string,rest:string>")
+    for prefix in sorted(prefixes, key=len):
+        out = F.when(path.startswith(prefix), F.struct(F.lit(prefixes[prefix]).alias("root"), F.substr(path, F.lit(len(prefix) + 1)).alias("rest"))).otherwise(out)
+    return out
+
+
+def query_value(query: Column, name: str) -> Column:
+    """The first value of a parameter of a URL's query, decoded; null where it is not there."""
+    found = F.regexp_extract_all(query, F.lit(rf"(?:^|[?&]){name}=([^&#]*)"), F.lit(1))
+    return F.try_url_decode(F.get(found, F.lit(0)))
+
+
 def camera(query: Column) -> Column:
     """lon, lat and scale of ``coords=lon,lat&scale=n``; parts out of range are null."""
     number = r"(-?\d+(?:\.\d+)?)"

@@ -47,6 +47,14 @@ def page_status(total: Column, number: Column, size: Column) -> Column:
     return F.struct(last.alias("last_page"), (number <= 1).alias("first"), (number >= last).alias("last"))
 
 
+def responses(rows: DataFrame, number: int, size: int = PAGE_SIZE) -> DataFrame:
+    """(source_layer, body): the JSON answer for one page of every source layer: total, page, pageSize and the page's features by table and fid."""
+    items = pages(rows, size).where(F.col("page") == number).groupBy("source_layer").agg(F.array_sort(F.collect_list(F.struct("table_name", "fid"))).alias("features"))
+    whole = counts(rows).join(items, "source_layer", "left")
+    none = F.array().cast("array<struct<table_name:string,fid:bigint>>")
+    return whole.select("source_layer", F.to_json(F.struct("total", F.lit(number).alias("page"), F.lit(size).alias("pageSize"), F.coalesce("features", none).alias("features"))).alias("body"))
+
+
 def as_feature(rows: DataFrame, properties: list[str]) -> DataFrame:
     """id, bbox, center and properties of features with ``pts``."""
     box = G.envelope(F.col("pts"))

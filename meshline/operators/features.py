@@ -147,3 +147,9 @@ def output_points(f: DataFrame) -> DataFrame:
 def parser_summary(found: DataFrame) -> DataFrame:
     """Numbers of features, warnings and skipped records."""
     return found.agg(F.count_if(F.col("event") == "feature").alias("features"), F.count_if(F.col("event") == "warning").alias("warnings"), F.count_if((F.col("event") == "warning") & F.col("skipped")).alias("skipped"))
+
+
+def same_warnings(scanned: DataFrame, converted: DataFrame) -> DataFrame:
+    """One row: the numbers of warnings of two passes over the same files, and whether they are equal, as they must be."""
+    each = scanned.select("event", F.lit(0).alias("run")).unionByName(converted.select("event", F.lit(1).alias("run"))).where("event = 'warning'")
+    return each.agg(F.count_if(F.col("run") == 0).alias("scanned"), F.count_if(F.col("run") == 1).alias("converted")).withColumn("equal", F.col("scanned") == F.col("converted"))

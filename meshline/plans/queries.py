@@ -16,22 +16,11 @@ from meshline.functions.fixedwidth import ELEMENT_FIELDS, first_error, fw_double
 from meshline.functions.text import japanese_count, vertical_text
 from meshline.operators import decorations, features, featurequery, layers, tiles
 from meshline.plans import derive as D
+from meshline.plans import requests as requests
+from meshline.plans.registry import ORACLE_SQL, query
+from meshline.plans.registry import QUERIES as QUERIES
 from meshline.sources import survey
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def r6(c: Column) -> Column:
     return F.round(c, 6) + 0.0
 

@@ -18,7 +18,7 @@ BASE = (
 )
 TEXT = (("ANGLE", "REAL"), ("SIZE", "REAL"), ("CHARSPACING", "REAL"), ("LINENO", "INTEGER"), ("VERTICAL", "INTEGER"), ("TEXT", "TEXT"))
 DECORATION = (("USER_ID", "INTEGER NOT NULL"), ("SRC_LAYER", "TEXT NOT NULL"), ("SRC_USER_ID", "INTEGER NOT NULL"), ("SRC_DMFILE", "TEXT NOT NULL"), ("SRC_DMCODE", "INTEGER NOT NULL"), ("DECORATION", "TEXT NOT NULL"), ("DECO_INDEX", "INTEGER NOT NULL"))
-PRAGMAS = "PRAGMA page_size=8192; PRAGMA cache_size=-1048576; PRAGMA temp_store=MEMORY; PRAGMA journal_mode=WAL; PRAGMA synchronous=NORMAL; PRAGMA application_id=1196444487; PRAGMA user_version=10300;"
+PRAGMAS = "PRAGMA page_size=8192; PRAGMA cache_size=-1048576; PRAGMA temp_store=MEMORY; PRAGMA journal_mode=WAL; PRAGMA synchronous=NORMAL; PRAGMA foreign_keys=ON; PRAGMA application_id=1196444487; PRAGMA user_version=10300;"
 METADATA = """
 CREATE TABLE gpkg_spatial_ref_sys (srs_name TEXT NOT NULL, srs_id INTEGER PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT);
 CREATE TABLE gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, description TEXT DEFAULT '', last_change DATETIME NOT NULL DEFAULT (strftime('%Y-%m-%dT%H:%M:%fZ','now')), min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER REFERENCES gpkg_spatial_ref_sys(srs_id));
