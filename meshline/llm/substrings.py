@@ -66,20 +66,37 @@ def _asked(docs: DataFrame, candidates: DataFrame | None) -> DataFrame:
     return docs.join(candidates.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("asked")).hint("merge"), "doc_id")
 
 
-def find_runs(asked: DataFrame, size: int, length: int) -> DataFrame:
-    """The candidates' runs at a level of grams of ``length`` words."""
+def _hashed(words: list[bytes], size: int, asked: list[dict] | None, known: WordHashes) -> tuple[np.ndarray, np.ndarray | None]:
+    """The hashes of a text's words, only of those under the windows asked for; and which windows these are."""
+    if asked is None:
+        return known.of(words), None
+    among = _marked(len(words) - size + 1, asked)
+    under = np.zeros(len(words) + 1, dtype=np.int64)
+    at = np.flatnonzero(among)
+    under[at] += 1
+    under[at + size] -= 1
+    at = np.flatnonzero(np.cumsum(under[:-1]) > 0)
+    out = np.zeros(len(words), dtype=np.uint64)
+    out[at] = known.of([words[k] for k in at.tolist()])
+    return out, among
+
+
+def find_runs(asked: DataFrame, size: int, length: int, spans: bool) -> DataFrame:
+    """The candidates' runs at a level of grams of ``length`` words; ``spans``: with a hash of all their words, else 0."""
 
     def run(batches):
         known = WordHashes()
         for block in blocks(batches):
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
             for doc, raw, some in zip(block.column("doc_id").to_pylist(), bytes_of(block.column("text")), block.column("asked").to_pylist(), strict=True):
-                words = known.of(raw.split())
+                words = raw.split()
                 if len(words) < size:
                     continue
-                grams = windows64(words, length)
-                first, n, anchor = repeats.runs(grams, size - length + 1, None if some is None else _marked(len(words) - size + 1, some))
-                for column, x in zip(out, (grams[anchor].view(np.int64), _span_hashes(words, first, n, size), np.full(len(first), doc), first, n), strict=True):
+                hashes, among = _hashed(words, size, some, known)
+                grams = windows64(hashes, length)
+                first, n, anchor = repeats.runs(grams, size - length + 1, among)
+                span = _span_hashes(hashes, first, n, size) if spans else np.zeros(len(first), dtype=np.int64)
+                for column, x in zip(out, (grams[anchor].view(np.int64), span, np.full(len(first), doc), first, n), strict=True):
                     column.append(x)
             if out[0]:
                 yield repeats.batch([np.concatenate(c) for c in out], repeats.RUNS)
@@ -96,11 +113,12 @@ def _windows(joined: DataFrame, size: int) -> DataFrame:
         for block in blocks(batches):
             out: list[list[np.ndarray]] = [[] for _ in range(4)]
             for doc, raw, asked in zip(block.column("doc_id").to_pylist(), bytes_of(block.column("text")), block.column("asked").to_pylist(), strict=True):
-                words = known.of(raw.split())
-                if len(words) < size:
+                plain = raw.split()
+                if len(plain) < size:
                     continue
+                words, among = _hashed(plain, size, asked, known)
                 p = np.arange(len(words) - size + 1)
-                p = p if asked is None else p[_marked(len(p), asked)]
+                p = p if among is None else p[among]
                 a, b = windows64(words, size)[p], windows64(words, size, 0x2545F4914F6CDD1D)[p]
                 for column, x in zip(out, (a.view(np.int64), b.view(np.int64), np.full(len(p), doc), p), strict=True):
                     column.append(x)
@@ -115,7 +133,7 @@ def removed(docs: DataFrame, stage: Stage, size: int = SIZE) -> DataFrame:
     spans, candidates = "doc_id long, start int, n int", None
     later = docs.sparkSession.createDataFrame([], spans)
     for length in lengths(size)[:-1]:
-        candidates = repeats.repeated(find_runs(_asked(docs, candidates), size, length), stage, str(length))
+        candidates = repeats.repeated(find_runs(_asked(docs, candidates), size, length, length == lengths(size)[-2]), stage, str(length))
         if candidates.isEmpty():
             return later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
     if candidates is not None:  # of runs that are equal word by word, one is looked at window by window
