@@ -21,7 +21,7 @@ from meshline.llm.common import Stage, id_bucket, spare, table
 from meshline.llm.queries import vocabulary
 
 #: A text whose n-grams are less likely than this, against those its language was learned from, is of no learned language.
-LEAST_FIT = -2.2
+LEAST_FIT = -2.7
 
 
 def _texts(docs: DataFrame) -> DataFrame:
