@@ -757,7 +757,7 @@ def pmtiles_points(spark, d):
 _LINE_DEG = _DEG.replace("FROM pts p)", "FROM lp p)")
 
 
-@query(f"""WITH {D.SQL_LINES}, lp AS (SELECT vert.id*1000+vert.n AS id, x, y, zone, map_level AS level FROM vert JOIN feat USING (id)), {_LINE_DEG},
+_LINE_PIECES = f"""{D.SQL_LINES}, lp AS (SELECT vert.id*1000+vert.n AS id, x, y, zone, map_level AS level FROM vert JOIN feat USING (id)), {_LINE_DEG},
 m AS (SELECT id//1000 AS id, id%1000 AS n, mx, my FROM merc), e AS (SELECT id, min(mx) AS x0, max(mx) AS x1, min(my) AS y0, max(my) AS y1 FROM m GROUP BY id),
 tl AS (SELECT id, z, unnest(generate_series(floor((x0-b+{_H})/(2*{_H})*(1<<z))::INT, floor((x1+b+{_H})/(2*{_H})*(1<<z))::INT)) AS x, y0, y1, b FROM (SELECT e.*, z, 2*{_H}/(1<<z)*64/4096 AS b FROM e, (SELECT unnest([14,15,16,17,18]) AS z))),
 ft AS (SELECT id, z, x, unnest(generate_series(floor(({_H}-y1-b)/(2*{_H})*(1<<z))::INT, floor(({_H}-y0+b)/(2*{_H})*(1<<z))::INT)) AS y FROM tl),
@@ -765,8 +765,10 @@ w AS (SELECT ft.*, n, ((mx+{_H})/(2*{_H})*(1<<z)-x)*4096 AS fx, (({_H}-my)/(2*{_
 r AS (SELECT id, z, x, y, n, CASE WHEN fx>=0 THEN floor(fx+0.5) ELSE ceil(fx-0.5) END AS ax, CASE WHEN fy>=0 THEN floor(fy+0.5) ELSE ceil(fy-0.5) END AS ay FROM w),
 s AS (SELECT *, lead(ax) OVER o - ax AS dx, lead(ay) OVER o - ay AS dy FROM r WINDOW o AS (PARTITION BY id, z, x, y ORDER BY n)),
 c AS (SELECT *, greatest(0, CASE WHEN dx>0 THEN (-64-ax)/dx WHEN dx<0 THEN (4160-ax)/dx ELSE 0 END, CASE WHEN dy>0 THEN (-64-ay)/dy WHEN dy<0 THEN (4160-ay)/dy ELSE 0 END) AS lo, least(1, CASE WHEN dx>0 THEN (4160-ax)/dx WHEN dx<0 THEN (-64-ax)/dx ELSE 1 END, CASE WHEN dy>0 THEN (4160-ay)/dy WHEN dy<0 THEN (-64-ay)/dy ELSE 1 END) AS hi FROM s WHERE dx IS NOT NULL AND NOT (dx=0 AND (ax < -64 OR ax > 4160)) AND NOT (dy=0 AND (ay < -64 OR ay > 4160))),
-p AS (SELECT id, z, x, y, round(ax+lo*dx)::INT AS x0, round(ay+lo*dy)::INT AS y0, round(ax+hi*dx)::INT AS x1, round(ay+hi*dy)::INT AS y1 FROM c WHERE lo <= hi)
-SELECT z::INT AS z, x::INT AS x, y::INT AS y, id::BIGINT AS id, x0, y0, x1, y1 FROM p WHERE x0 <> x1 OR y0 <> y1""")
+p AS (SELECT id, z, x, y, round(ax+lo*dx)::INT AS x0, round(ay+lo*dy)::INT AS y0, round(ax+hi*dx)::INT AS x1, round(ay+hi*dy)::INT AS y1 FROM c WHERE lo <= hi)"""
+
+
+@query(f"WITH {_LINE_PIECES} SELECT z::INT AS z, x::INT AS x, y::INT AS y, id::BIGINT AS id, x0, y0, x1, y1 FROM p WHERE x0 <> x1 OR y0 <> y1")
 def mvt_line_segments(spark, d):
     """Lines encoded without simplification into tiles of all zooms, and decoded: the steps they draw."""
     from meshline.operators import mvt
@@ -775,3 +777,9 @@ def mvt_line_segments(spark, d):
     o = Window.partitionBy("z", "x", "y", "id", "part").orderBy("n")
     steps = u.select("z", "x", "y", "id", F.lag("px").over(o).alias("x0"), F.lag("py").over(o).alias("y0"), F.col("px").alias("x1"), F.col("py").alias("y1"))
     return steps.where("x0 is not null and (x0 <> x1 or y0 <> y1)")
+
+
+@query(f"WITH {_LINE_PIECES} SELECT t.z::INT AS z, t.x::INT AS x, t.y::INT AS y, count(DISTINCT p.id)::BIGINT AS features, count(p.id) > 0 AS drawn FROM (SELECT DISTINCT z, x, y FROM ft) t LEFT JOIN p USING (z, x, y) GROUP BY t.z, t.x, t.y")
+def mvt_tile_features(spark, d):
+    """How many lines each encoded tile shows, and whether it has bytes."""
+    return mvt_tiles(spark, d).select("z", "x", "y", "features", (F.col("bytes") > 0).alias("drawn"))
