@@ -1,16 +1,16 @@
 """Best-fit packing of tokenised documents by a grouping genetic algorithm.
 
 Documents become pieces of at most ``capacity`` tokens. Full pieces are
-sequences of their own. The others are dealt by a hash into shards of a few
+sequences of their own. The others are dealt by a hash into shards of some
 thousand pieces; each shard is packed by several islands, each a small
 population of packings, the first best-fit decreasing. A generation crosses
 two parents: well-filled whole bins of one are injected into the other, bins
 that hold a duplicate are removed, and displaced pieces are put back
 best-fit, largest first. Between rounds each island gets its neighbour's
-elite. An island rests when its bins are as few as can be and all but one of
-them are full. In the end the bins of many shards that are not full are
-packed together again, with the bins as they are as one of the parents, until
-they are as few as can be, one shard holds them, or no fewer remain.
+elite. An island rests when its bins are as few as can be. In the end the bins
+of many shards that are not full are packed together again, with the bins as
+they are as one of the parents, until they are as few as can be, one shard
+holds them, or no fewer remain.
 
 Edge cases: a null or empty text is a piece of length 1 (the closing id); an
 empty table has no pieces; equal rows, and rows that repeat a doc_id, are
@@ -31,7 +31,7 @@ from meshline.llm.bpe import encoder
 from meshline.llm.common import Stage, blocks
 
 CAPACITY = 2048
-SHARD, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 2048, 2, 2, 6, 4
+SHARD, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 16384, 2, 2, 6, 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _KEYS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
@@ -135,9 +135,8 @@ def cross(base: np.ndarray, donor: np.ndarray, lengths: np.ndarray, capacity: in
 
 
 def rests(bins: np.ndarray, lengths: np.ndarray, capacity: int) -> bool:
-    """Whether a packing has the least number of bins, all but one of them full."""
-    full = fills(bins, lengths)
-    return len(full) <= -(-int(lengths.sum()) // capacity) and int((full < capacity).sum()) <= 1
+    """Whether a packing has the least number of bins."""
+    return int(bins.max(initial=-1)) + 1 <= -(-int(lengths.sum()) // capacity)
 
 
 def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, generations: int = GENERATIONS, size: int = POPULATION) -> list[np.ndarray]:
