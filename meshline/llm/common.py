@@ -59,7 +59,9 @@ class Stage:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; dealt out evenly where its files have fewer parts than there are cores, as small tables in one file do."""
+    found, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return found if found.rdd.getNumPartitions() >= cores else found.repartition(cores)
 
 
 def spare(name: str, columns: list[str]) -> str:

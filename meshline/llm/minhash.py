@@ -17,7 +17,9 @@ of different components alone. So every link between components is found.
 Edge cases: a null text, or one without words, has an empty set and no link;
 with fewer words than a shingle the whole sequence is one; equal sets link;
 rows that repeat a doc_id with one text are one document (with different
-texts, the id has the larger set's size and all of their links).
+texts, the id has the larger set's size, and its links are confirmed on one of
+the texts alone); an empty table gives no rows; further columns may have any
+names. A text is held whole by one task, with some 60 bytes a word beside it.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from meshline.llm.components import components
 
 WORDS, SIMILARITY = 5, 75  # hundredths
 COORDINATES, MATCHES, BLOCK, TILE = 32, 14, 1024, 128
+#: Shingles of a matrix of two tiles; bytes of sets that a task holds beside those of two tiles.
+WIDTH, SET_BYTES = 1 << 16, 128 << 20
 _A = np.random.default_rng(32).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _B = np.random.default_rng(33).integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 SETS = "doc_id long, n_shingles long, k1 long, k2 long, signature array<long>"
@@ -130,17 +134,23 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, stage: Stage, tag: str) -> Dat
     return found
 
 
-def shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of each left set with each right one, as a product of incidence matrices."""
+def shared(sets: dict[int, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right one, as a product of incidence matrices, ``WIDTH`` shingles at a time."""
     mine = [sets[i] for i in left.tolist()] + [sets[i] for i in right.tolist()]
     _, place = np.unique(np.concatenate(mine), return_inverse=True)
     row = np.repeat(np.arange(len(mine)), [len(x) for x in mine])
     # Shingles that one of the sets alone has do not count.
     often = np.bincount(place)[place] > 1
     used, place = np.unique(place[often], return_inverse=True)
-    held = np.zeros((len(mine), len(used)), dtype=np.float32)
-    held[row[often], place] = 1
-    return np.rint(held[: len(left)] @ held[len(left) :].T).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    row, place = row[often][order], place[order]
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    for begin in range(0, len(used), WIDTH):
+        a, b = np.searchsorted(place, [begin, begin + WIDTH])
+        held = np.zeros((len(mine), min(WIDTH, len(used) - begin)), dtype=np.float32)
+        held[row[a:b], place[a:b] - begin] = 1
+        out += np.rint(held[: len(left)] @ held[len(left) :].T).astype(np.int64)
+    return out
 
 
 def _linked(rows: DataFrame) -> DataFrame:
@@ -158,7 +168,8 @@ def _linked(rows: DataFrame) -> DataFrame:
         def compare(group: list[tuple]) -> None:
             b = np.array([r[0] for r in group])
             kind, component, s = np.array([r[1] for r in group]), np.array([r[2] for r in group]), np.stack([r[3] for r in group])
-            sets: list[np.ndarray | None] = [None] * len(group)
+            sets: dict[int, np.ndarray] = {}
+            size = np.zeros(len(group), dtype=np.int64)
             root = {c: c for c in component.tolist()}
 
             def top(c: int) -> int:
@@ -177,10 +188,11 @@ def _linked(rows: DataFrame) -> DataFrame:
                     x, y = x[near.any(axis=1)], y[near.any(axis=0)]
                     if not len(x):
                         continue
-                    for k in {*x.tolist(), *y.tolist()}:
-                        if sets[k] is None:
-                            sets[k] = shingles(known.of(open_.decompress(group[k][4]).split()))
-                    size = np.array([0 if z is None else len(z) for z in sets])
+                    if 8 * size[list(sets)].sum() > SET_BYTES:  # sets are made anew where they are needed again
+                        sets.clear()
+                    for k in {*x.tolist(), *y.tolist()} - sets.keys():
+                        sets[k] = shingles(known.of(open_.decompress(group[k][4]).split()))
+                        size[k] = len(sets[k])
                     both = shared(sets, x, y)
                     fit = (100 * both >= SIMILARITY * (size[x][:, None] + size[y][None, :] - both)) & (component[x][:, None] != component[y][None, :])
                     for p, q in zip(*np.nonzero(fit), strict=True):

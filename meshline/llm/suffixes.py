@@ -42,6 +42,8 @@ from meshline.llm.substrings import keep_mask
 SIZE, GRAM = 400, 64
 #: Kinds of runs of one gram that are sorted in one task; bytes sorted together.
 MOST_KINDS, SORT_BYTES = 1024, 384 << 10
+#: First bytes of windows by which sorted batches are merged; what the driver samples of them to set ranges.
+LEAD = 24
 
 _MULTIPLIER = 0x5851F42D4C957F2D
 _VALUES = np.random.default_rng(400).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -267,7 +269,7 @@ def _merged_spans(segments: DataFrame, stage: Stage, size: int) -> DataFrame:
 
     windows = stage.write(segments.mapInArrow(sort, schema), "windows")
     inside = windows.where("count > 1 and single = 1").select("doc_id", "start", F.lit(1).alias("n"))
-    across = windows.where("w <> X''").repartitionByRange("w").sortWithinPartitions("w", F.desc("count"))
+    across = windows.where("w <> X''").repartitionByRange(F.substring("w", 1, LEAD)).sortWithinPartitions("w", F.desc("count"))
     found = stage.write(inside.unionByName(across.mapInArrow(merge, SPANS)), "merged")
     stage.drop("windows")
     return found
