@@ -47,7 +47,9 @@ class Polylines:
     def at(self, row: np.ndarray, d: np.ndarray, side: str = "left") -> np.ndarray:
         """The segment of each distance ``d`` along line ``row`` (rows in order): the first that reaches it, the last beyond the end. All rows have segments."""
         out = np.empty(len(row), dtype=np.int64)
-        change = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, np.int64)
+        if not len(row):
+            return out
+        change = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         for a, b in zip(change.tolist(), [*change[1:].tolist(), len(row)], strict=True):
             s, e = self.edge[row[a]], self.edge[row[a] + 1]
             out[a:b] = s + np.minimum(np.searchsorted(self.end[s:e], d[a:b], side), e - s - 1)
@@ -63,8 +65,13 @@ class Polylines:
         s = self.at(row, d)
         return *self.on(s, np.minimum(d, self.start[s] + self.length[s])), self.tx[s], self.ty[s]
 
-    def parts(self, row: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> list[np.ndarray | None]:
-        """The parts of lines between two distances, without overlaps or steps shorter than ``least``; None if nothing is left."""
+    def parts(self, row: np.ndarray, a: np.ndarray, b: np.ndarray, least: float, by_axis: bool = True) -> list[np.ndarray | None]:
+        """The parts of lines between two distances, without overlaps or steps shorter than ``least``; None if nothing is left.
+
+        ``by_axis``: a step is as long as its x or its y, the longer of both,
+        so that a slanting overlap of ``least`` may still go. Otherwise every
+        such overlap stays from end to end.
+        """
         low, high = self.at(row, a, "right"), self.at(row, b, "left")
         out: list[np.ndarray | None] = []
         for i, j, p, q in zip(low.tolist(), high.tolist(), a.tolist(), b.tolist(), strict=True):
@@ -73,8 +80,9 @@ class Polylines:
             s, begin, end = (v[end - begin >= least] for v in (s, begin, end))
             line = np.stack([np.stack(self.on(s, begin), axis=1), np.stack(self.on(s, end), axis=1)], axis=1).reshape(-1, 2).tolist()
             kept = line[:1]
-            for x, y in line[1:]:
-                if abs(kept[-1][0] - x) >= least or abs(kept[-1][1] - y) >= least:
+            for k, (x, y) in enumerate(line[1:], 1):
+                dx, dy = abs(kept[-1][0] - x), abs(kept[-1][1] - y)
+                if dx >= least or dy >= least if by_axis else k % 2 or dx * dx + dy * dy >= least * least:
                     kept.append([x, y])
             out.append(np.array(kept) if q - p >= least and len(kept) >= 2 else None)
         return out

@@ -96,7 +96,8 @@ def layer_keys(features: DataFrame) -> DataFrame:
 class Pieces:
     """Pieces of symbols of many features: whose they are, their rank among its pieces, name, kind and points."""
 
-    def __init__(self) -> None:
+    def __init__(self, by_axis: bool = True) -> None:
+        self.by_axis = by_axis
         self.row: list[np.ndarray] = []
         self.rank: list[np.ndarray] = []
         self.label: list[np.ndarray] = []
@@ -122,8 +123,8 @@ class Pieces:
 
     def add_parts(self, lines: Polylines, row: np.ndarray, rank: np.ndarray, name: str, a: np.ndarray, b: np.ndarray) -> None:
         """Parts of the lines themselves."""
-        found = lines.parts(row, a, b, LEAST)
-        keep = np.array([p is not None and np.sqrt((np.diff(p, axis=0) ** 2).sum(axis=1)).sum() >= LEAST for p in found], dtype=bool)
+        found = lines.parts(row, a, b, LEAST, self.by_axis)
+        keep = np.array([p is not None and (not self.by_axis or np.sqrt((np.diff(p, axis=0) ** 2).sum(axis=1)).sum() >= LEAST) for p in found], dtype=bool)
         kept = [p for p, k in zip(found, keep.tolist(), strict=True) if k]
         self.row.append(row[keep])
         self.rank.append(rank[keep])
@@ -260,8 +261,11 @@ def _pipe(name: str, lines: Polylines, rows: np.ndarray, radius: np.ndarray, int
     out.add(columns[0].astype(np.int64), columns[1].astype(np.int64), name, "polygon", *_half_disc(tuple(columns[2:6]), columns[6], columns[7]))
 
 
-def decorate(features: DataFrame, codes: list[int] | None = None) -> DataFrame:
-    """The symbols of ``features`` (dmcode, kind, zone, map_level, dmfigtype, pts and, if there, gtype, user_id and source_file), one row each with deco_index from 1 per feature. With ``codes``, of those codes alone."""
+def decorate(features: DataFrame, codes: list[int] | None = None, by_axis: bool = True) -> DataFrame:
+    """The symbols of ``features`` (dmcode, kind, zone, map_level, dmfigtype, pts and, if there, gtype, user_id and source_file), one row each with deco_index from 1 per feature. With ``codes``, of those codes alone.
+
+    ``by_axis``: how the shortest steps of dashes are told, see ``Polylines.parts``; by axis is the map style's rule.
+    """
     chosen = {r.code: r for r in CATALOGUE if codes is None or r.code in codes}
     wanted = F.lit(False)
     for r in chosen.values():
@@ -278,7 +282,7 @@ def decorate(features: DataFrame, codes: list[int] | None = None) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lines, out = Polylines(batch.column("pts")), Pieces()
+            lines, out = Polylines(batch.column("pts")), Pieces(by_axis)
             code, level = (np.asarray(batch.column(c), dtype=np.int64) for c in ("dmcode", "map_level"))
             for c in np.unique(code).tolist():
                 rows = np.flatnonzero(code == c)

@@ -97,3 +97,33 @@ def test_a_long_line(spark):
     counts = {r["id"]: r["count"] for r in found}
     total = 10_000 * 2**0.5
     assert counts[1] == int((total - 2.5) // 2.5) + 1 and counts[2] == int(total // 8.75) + 1 + int((total - 6.875) // 8.75) + 1 and counts[3] > 6 * total / 20 - 7
+
+
+#: A step of this in x and y is over a centimetre long, but under one in each.
+SHORT = 0.0075
+
+
+def test_short_steps_by_axis_and_by_length(spark):
+    """A step of 0.0106 m at 45 degrees goes by the map style's rule and stays where steps count by length."""
+    rows = [(1, 6130, "line", 8, 2500, None, [(0.0, 0.0), (4.985, 0.0), (4.985 + SHORT, SHORT)]), (2, 1101, "line", 8, 2500, None, [(0.0, 0.0), (20.0, 0.0), (20.0 + SHORT, SHORT)])]
+    last = {}
+    for by_axis in (True, False):
+        for r in decorations.decorate(spark.createDataFrame(rows, SCHEMA), None, by_axis).where("decoration in ('dash_segment', 'major_dash')").orderBy("deco_index").collect():
+            last[by_axis, r["id"]] = (r["deco_index"], r["pts"][-1]["x"], r["pts"][-1]["y"])
+    assert last[False, 1] == (1, pytest.approx(4.985 + SHORT), pytest.approx(SHORT)) and last[True, 1] == (1, pytest.approx(4.985), 0.0)
+    # The second boundary dash is this step alone.
+    assert last[False, 2] == (7, pytest.approx(20 + SHORT), pytest.approx(SHORT)) and last[True, 2][0] == 1
+
+
+@pytest.mark.parametrize("name", ["deco_dashes"])
+def test_short_steps_as_in_sql(spark, tmp_path, name):
+    """Orders of sf0.1 whose dashes have such steps at their ends: rows as the SQL has them."""
+    import duckdb
+
+    from meshline.plans import queries
+
+    spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").where("l_orderkey in (75162, 113920, 57920, 21920, 47840)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    frame = queries.QUERIES[name](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(map(tuple, frame.collect())) == sorted(db.sql(f"SELECT {', '.join(frame.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall())
