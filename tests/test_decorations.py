@@ -115,7 +115,7 @@ def test_short_steps_by_axis_and_by_length(spark):
     assert last[False, 2] == (7, pytest.approx(20 + SHORT), pytest.approx(SHORT)) and last[True, 2][0] == 1
 
 
-@pytest.mark.parametrize("name", ["deco_dashes"])
+@pytest.mark.parametrize("name", ["deco_dashes", "deco_major_dash"])
 def test_short_steps_as_in_sql(spark, tmp_path, name):
     """Orders of sf0.1 whose dashes have such steps at their ends: rows as the SQL has them."""
     import duckdb
