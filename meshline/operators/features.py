@@ -92,11 +92,11 @@ def elements(records: DataFrame, encoding: str = "shift_jis") -> DataFrame:
         center.alias("center"), c["radius"].alias("radius"), angle_of(0).alias("start_angle"), angle_of(2).alias("end_angle"),
         F.when(F.col("_type") == "4", G.clockwise(angle_of(0), angle_of(1), angle_of(2))).alias("clockwise"),
         *(F.col(f"_{k}").alias(k) for k in CODE_FIELDS),
-        F.when(kind8, T.trimmed_or_null(T.decode_annotation(T.attribute_bytes(F.col("rows")), F.lit(2), encoding))).alias("dmattrdata"),
+        F.when(kind8, T.trimmed_or_null(T.decode_annotation(F.when(kind8, T.attribute_bytes(F.col("rows"))), F.lit(2), encoding))).alias("dmattrdata"),
         F.when(F.col("_type") == "6", G.direction(p(0), p(1))).when(kind7, fw_double(row, 1, 7)).alias("angle"),
         F.when(kind7, fw_double(row, 8, 5)).alias("size"), F.when(kind7, fw_double(row, 13, 5)).alias("char_spacing"),
         F.when(kind7, fw_int(row, 18, 2)).alias("line_no"), F.when(kind7, fw_int(row, 0, 1)).alias("vertical"),
-        F.when(kind7, T.decode_annotation(T.annotation_bytes(F.col("rows"), count, annotation_type), annotation_type, encoding)).alias("text"),
+        F.when(kind7, T.decode_annotation(F.when(kind7, T.annotation_bytes(F.col("rows"), count, annotation_type)), annotation_type, encoding)).alias("text"),
         F.col("_message").alias("message"),
     )
 

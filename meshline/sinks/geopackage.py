@@ -1,14 +1,17 @@
-"""GeoPackage files. One file has one writer, so rows are staged in order and written by one task, streamed and in batches."""
+"""GeoPackage files. One file has one writer, the driver: rows are sorted, made into blobs, envelopes and values by the executors, and come to it as packed batches, a partition at a time."""
 
 from __future__ import annotations
 
 import os
+import pickle
 import sqlite3
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from meshline.functions.blobs import write_blob
+from meshline.functions.blobs import write_blobs
 
 BATCH = 10_000
 #: Names and kinds of columns. Fixed values of the file format.
@@ -18,7 +21,8 @@ BASE = (
 )
 TEXT = (("ANGLE", "REAL"), ("SIZE", "REAL"), ("CHARSPACING", "REAL"), ("LINENO", "INTEGER"), ("VERTICAL", "INTEGER"), ("TEXT", "TEXT"))
 DECORATION = (("USER_ID", "INTEGER NOT NULL"), ("SRC_LAYER", "TEXT NOT NULL"), ("SRC_USER_ID", "INTEGER NOT NULL"), ("SRC_DMFILE", "TEXT NOT NULL"), ("SRC_DMCODE", "INTEGER NOT NULL"), ("DECORATION", "TEXT NOT NULL"), ("DECO_INDEX", "INTEGER NOT NULL"))
-PRAGMAS = "PRAGMA page_size=8192; PRAGMA cache_size=-1048576; PRAGMA temp_store=MEMORY; PRAGMA journal_mode=WAL; PRAGMA synchronous=NORMAL; PRAGMA foreign_keys=ON; PRAGMA application_id=1196444487; PRAGMA user_version=10300;"
+#: 64 MB of pages and sorts in files: rows come layer by layer, so that a larger cache only holds what is done with.
+PRAGMAS = "PRAGMA page_size=8192; PRAGMA cache_size=-65536; PRAGMA temp_store=FILE; PRAGMA journal_mode=WAL; PRAGMA synchronous=NORMAL; PRAGMA foreign_keys=ON; PRAGMA application_id=1196444487; PRAGMA user_version=10300;"
 METADATA = """
 CREATE TABLE gpkg_spatial_ref_sys (srs_name TEXT NOT NULL, srs_id INTEGER PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT);
 CREATE TABLE gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, description TEXT DEFAULT '', last_change DATETIME NOT NULL DEFAULT (strftime('%Y-%m-%dT%H:%M:%fZ','now')), min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER REFERENCES gpkg_spatial_ref_sys(srs_id));
@@ -62,23 +66,16 @@ class Writer:
             return (*DECORATION, *angle)
         return (*BASE, *(TEXT if layer["kind"] == "text" else angle))
 
-    def write(self, rows: list[dict]) -> None:
-        """One transaction."""
-        self.db.execute("BEGIN")
-        for r in rows:
-            layer = self.layers[r["layer"]]
-            pts = [(p["x"], p["y"]) for p in r["pts"]]
-            columns = [c for c, _ in self._columns(layer)]
-            cursor = self.db.execute(
-                f"INSERT INTO {quoted(layer['layer'])} (geom, {', '.join(map(quoted, columns))}) VALUES ({', '.join('?' * (len(columns) + 1))})",
-                (write_blob(layer["kind"], pts, layer["srs_id"]), *(r["attributes"].get(c) for c in columns)),
-            )
-            box = [min(p[0] for p in pts), max(p[0] for p in pts), min(p[1] for p in pts), max(p[1] for p in pts)]
-            self.db.execute(f"INSERT INTO {quoted('rtree_' + layer['layer'] + '_geom')} VALUES (?,?,?,?,?)", (cursor.lastrowid, *box))
-            old = self.boxes.get(layer["layer"], box)
-            self.boxes[layer["layer"]] = [min(old[0], box[0]), max(old[1], box[1]), min(old[2], box[2]), max(old[3], box[3])]
-            self.counts[layer["layer"]] += 1
-        self.db.execute("COMMIT")
+    def write(self, layer: str, rows: list[tuple], boxes: list[tuple]) -> None:
+        """Rows (geom and the layer's columns) and their envelopes, in the open transaction."""
+        first = self.counts[layer] + 1
+        columns = ["fid", "geom", *(c for c, _ in self._columns(self.layers[layer]))]
+        self.db.executemany(f"INSERT INTO {quoted(layer)} ({', '.join(map(quoted, columns))}) VALUES ({', '.join('?' * len(columns))})", ((fid, *r) for fid, r in enumerate(rows, first)))
+        self.db.executemany(f"INSERT INTO {quoted('rtree_' + layer + '_geom')} VALUES (?,?,?,?,?)", ((fid, *b) for fid, b in enumerate(boxes, first)))
+        x0, x1, y0, y1 = zip(*boxes, strict=True)
+        old = self.boxes.get(layer, boxes[0])
+        self.boxes[layer] = [min(old[0], *x0), max(old[1], *x1), min(old[2], *y0), max(old[3], *y1)]
+        self.counts[layer] += len(rows)
 
     def finish(self) -> None:
         for name, layer in self.layers.items():
@@ -114,30 +111,57 @@ class Writer:
                 os.remove(self.path + suffix)
 
 
-def batches(rows: Iterator, size: int) -> Iterator[list]:
-    held: list = []
-    for r in rows:
-        held.append(r)
-        if len(held) >= size:
-            yield held
-            held = []
-    if held:
-        yield held
+def packed(rows: DataFrame, layers: list[dict], batch: int) -> DataFrame:
+    """(layer, n, data): sorted ``rows`` (layer, pts, attributes struct) as pickled lists of rows and envelopes, ``batch`` rows at most to each."""
+    by_name = {x["layer"]: (x, [c for c, _ in Writer._columns(x)]) for x in layers}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in batches:
+            names, pts, attributes = held.column("layer").to_pylist(), held.column("pts"), held.column("attributes")
+            changes = [k for k in range(1, len(names)) if names[k] != names[k - 1]]
+            starts = [0, *changes, len(names)] if names else []
+            for begin, end in zip(starts, starts[1:], strict=False):
+                layer, columns = by_name[names[begin]]
+                for a in range(begin, end, batch):
+                    n = min(batch, end - a)
+                    part = pts.slice(a, n)
+                    sizes = np.asarray(part.value_lengths().fill_null(0), dtype=np.int64)
+                    if not sizes.all():
+                        raise ValueError(f"a feature of {names[begin]} has no points")
+                    flat = part.flatten()
+                    x, y = (np.asarray(flat.field(c), dtype=np.float64) for c in ("x", "y"))
+                    first = np.cumsum(sizes) - sizes
+                    boxes = np.stack([f.reduceat(v, first) for v in (x, y) for f in (np.minimum, np.maximum)], axis=1)
+                    own = attributes.slice(a, n)
+                    values = [own.field(own.type.get_field_index(c)).to_pylist() for c in columns]
+                    rows = list(zip(write_blobs(layer["kind"], x, y, sizes, boxes, layer["srs_id"]), *values, strict=True))
+                    data = pickle.dumps((rows, list(map(tuple, boxes.tolist()))), 5)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[begin]]), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["layer", "n", "data"])
+
+    return rows.mapInArrow(run, "layer string, n long, data binary")
 
 
 def write(rows: DataFrame, layers: list[dict], path: str, batch: int = BATCH) -> dict[str, int]:
-    """Writes ``rows`` (layer, ord, pts, attributes map or struct) in order; returns the number of rows per layer.
+    """Writes ``rows`` (layer, ord, pts, attributes struct) in order; returns the number of rows per layer.
 
-    The driver holds one batch: rows come to it partition by partition. A
-    failure removes the file.
+    The driver holds two partitions of packed rows and a transaction of ``batch``
+    rows. A failure removes the file.
     """
     if batch <= 0:
         raise ValueError("the batch size must be above 0")
     writer = Writer(path, layers)
     try:
-        stream = (r.asDict(recursive=True) for r in rows.orderBy("layer", "ord").toLocalIterator(prefetchPartitions=True))
-        for held in batches(stream, batch):
-            writer.write(held)
+        open_rows = 0
+        for r in packed(rows.orderBy("layer", "ord").select("layer", "pts", "attributes"), layers, batch).toLocalIterator(prefetchPartitions=True):
+            if open_rows and open_rows + r["n"] > batch:
+                writer.db.execute("COMMIT")
+                open_rows = 0
+            if not open_rows:
+                writer.db.execute("BEGIN")
+            writer.write(r["layer"], *pickle.loads(r["data"]))
+            open_rows += r["n"]
+        if open_rows:
+            writer.db.execute("COMMIT")
         writer.finish()
     except BaseException:
         writer.abort()

@@ -166,3 +166,35 @@ def test_folders(tmp_path):
         folders.inside(str(b), "../x")
     assert folders.recolor(bytes([0, 0, 0, 255, 255, 255, 255, 255]), (1, 2, 3)) == bytes([1, 2, 3, 255, 1, 2, 3, 0])
     assert folders.append_frame({}, 32, "n", (8, 9))[1] == 41 and folders.pack_atlas([("a", 32, 32)] * 1)[0] == 32
+
+
+def test_geopackage_writer_in_bounds(spark, tmp_path, monkeypatch):
+    """The writer's pages and sorts do not grow with the file, and rows reach it packed: the driver makes no blob and no row of its own."""
+    from meshline.sinks import geopackage as sink
+
+    layers = [{"layer": "dm_2100_line_08_2500", "kind": "line", "srs_id": 6676, "decoration": False}, {"layer": "dm_7100_point_08_2500", "kind": "point", "srs_id": 6676, "decoration": False}]
+    rows = spark.range(2500).selectExpr(
+        "if(id % 3 = 0, 'dm_7100_point_08_2500', 'dm_2100_line_08_2500') layer", "id + 1 ord", "transform(sequence(0, if(id % 3 = 0, 0, id % 4 + 1)), k -> struct(cast(id + k as double) x, cast(id - k as double) y)) pts",
+        f"named_struct({', '.join(f'{c!r}, ' + {'USER_ID': 'id + 1', 'DMFILE': repr('a.dm')}.get(c, 'cast(null as long)') for c, _ in (*sink.BASE, ('ANGLE', '')))}) attributes",
+    )
+    seen = {}
+    close = sink.Writer.finish
+
+    def finish(self):
+        seen.update(cache=self.db.execute("PRAGMA cache_size").fetchone()[0], temp=self.db.execute("PRAGMA temp_store").fetchone()[0])
+        close(self)
+
+    monkeypatch.setattr(sink.Writer, "finish", finish)
+    path = str(tmp_path / "out.gpkg")
+    assert sink.write(rows, layers, path, 100) == {"dm_2100_line_08_2500": 1666, "dm_7100_point_08_2500": 834}
+    assert -65536 <= seen["cache"] < 0 and seen["temp"] == 1
+    assert sink.packed(rows.orderBy("layer", "ord"), layers, 100).agg({"n": "max"}).first()[0] == 100
+    with sqlite3.connect(path) as db:
+        for layer, kind, ids in (("dm_2100_line_08_2500", "line", [k for k in range(2500) if k % 3]), ("dm_7100_point_08_2500", "point", range(0, 2500, 3))):
+            expected = [(n, write_blob(kind, [(float(k + j), float(k - j)) for j in range(k % 4 + 2 if k % 3 else 1)], 6676), k + 1) for n, k in enumerate(ids, 1)]
+            assert db.execute(f'SELECT fid, geom, USER_ID FROM "{layer}" ORDER BY fid').fetchall() == expected
+            boxes = [(n, float(k), float(k + (k % 4 + 1 if k % 3 else 0)), float(k - (k % 4 + 1 if k % 3 else 0)), float(k)) for n, k in enumerate(ids, 1)]
+            assert db.execute(f'SELECT id, minx, maxx, miny, maxy FROM "rtree_{layer}_geom" ORDER BY id').fetchall() == boxes
+            assert db.execute("SELECT min_x, max_x, min_y, max_y FROM gpkg_contents WHERE table_name = ?", (layer,)).fetchone() == (min(b[1] for b in boxes), max(b[2] for b in boxes), min(b[3] for b in boxes), max(b[4] for b in boxes))
+    found = source.features(spark, path)
+    assert found.count() == 2500 and found.where("geometry.error is not null").count() == 0
