@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,6 +22,9 @@ COLUMNS = (
     ("DMATTRDATA", "string"), ("DMFILE", "string"), ("ANGLE", "double"), ("SIZE", "double"), ("CHARSPACING", "double"), ("LINENO", "long"), ("VERTICAL", "long"), ("TEXT", "string"),
     ("SRC_LAYER", "string"), ("SRC_USER_ID", "long"), ("SRC_DMFILE", "string"), ("SRC_DMCODE", "long"), ("DECORATION", "string"), ("DECO_INDEX", "long"),
 )
+FEATURES = "table_name string, fid long, geom binary, " + ", ".join(f"{c} {t}" for c, t in COLUMNS)
+#: Rows of a table that are read at once.
+READ = 5000
 CATALOG = "table_name string, geometry_type string, srs_id int, min_x double, min_y double, max_x double, max_y double, column_name string"
 CATALOG_SQL = """SELECT c.table_name, g.geometry_type_name, g.srs_id, c.min_x, c.min_y, c.max_x, c.max_y, g.column_name
 FROM gpkg_contents c JOIN gpkg_geometry_columns g ON g.table_name = c.table_name WHERE c.data_type = 'features' ORDER BY c.table_name"""
@@ -36,6 +40,14 @@ def _ident(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
+def _batch(name: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (fid, geometry and all columns) of a table in Arrow's form; values of another type than the column's end the query."""
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    types = [pa.int64(), pa.binary(), *(kinds[t] for _, t in COLUMNS)]
+    arrays = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), *arrays], ["table_name", "fid", "geom", *(c for c, _ in COLUMNS)])
+
+
 @dataclass
 class Table(InputPartition):
     name: str
@@ -53,15 +65,16 @@ class _Reader(DataSourceReader):
             found = [Table(r[0], r[7]) for r in db.execute(CATALOG_SQL) if self.tables is None or r[0] in self.tables]
         return found or [Table("", "")]
 
-    def read(self, part: Table) -> Iterator[tuple]:
+    def read(self, part: Table) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
         with connect(self.path) as db:
             if self.what == "catalog":
                 yield from db.execute(CATALOG_SQL)
             elif part.name:
                 have = {r[1] for r in db.execute(f"PRAGMA table_info({_ident(part.name)})")}
                 picked = ", ".join(_ident(c) if c in have else "NULL" for c, _ in COLUMNS)
-                for row in db.execute(f"SELECT fid, {_ident(part.geometry)}, {picked} FROM {_ident(part.name)} ORDER BY fid"):
-                    yield (part.name, *row)
+                rows = db.execute(f"SELECT fid, {_ident(part.geometry)}, {picked} FROM {_ident(part.name)} ORDER BY fid")
+                while held := rows.fetchmany(READ):
+                    yield _batch(part.name, held)
 
 
 class GeoPackageSource(DataSource):
@@ -72,7 +85,7 @@ class GeoPackageSource(DataSource):
         return "geopackage"
 
     def schema(self) -> str:
-        return CATALOG if self.options.get("what") == "catalog" else "table_name string, fid long, geom binary, " + ", ".join(f"{c} {t}" for c, t in COLUMNS)
+        return CATALOG if self.options.get("what") == "catalog" else FEATURES
 
     def reader(self, schema) -> _Reader:
         tables = self.options.get("tables")
@@ -81,8 +94,7 @@ class GeoPackageSource(DataSource):
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
     """Feature tables with what their names say; ``layer`` is null for tables of other programs."""
-    spark.dataSource.register(GeoPackageSource)
-    rows = spark.read.format("geopackage").option("what", "catalog").load(path)
+    rows = spark.createDataFrame(list(_Reader(path, "catalog", None).read(Table("", ""))), CATALOG)  # as many as layers
     return rows.withColumn("layer", names.parse_table(F.col("table_name"))).withColumn("zone", projection.epsg_to_zone(F.col("srs_id")))
 
 
@@ -94,11 +106,21 @@ def checked_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def features(spark: SparkSession, path: str, tables: list[str] | None = None) -> DataFrame:
-    """The features of all tables, or of some, with geometry as points."""
-    spark.dataSource.register(GeoPackageSource)
-    reader = spark.read.format("geopackage")
-    if tables:
-        reader = reader.option("tables", ",".join(tables))
-    rows = reader.load(path).withColumn("layer", names.parse_table(F.col("table_name"))).where("layer is not null")
+    """The features of all tables, or of some, with geometry as points.
+
+    Tables are listed here and read by the data source's reader, a task for
+    each; Spark would plan the source itself in Python processes of its own
+    beside the driver, which hold more memory than the driver's Python.
+    """
+    reader = _Reader(path, "features", tables)
+    parts = [(p.name, p.geometry) for p in reader.partitions()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.to_pylist():
+                yield from reader.read(Table(part["name"], part["geometry"]))
+
+    listed = spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)), "name string, geometry string")
+    rows = listed.mapInArrow(run, FEATURES).withColumn("layer", names.parse_table(F.col("table_name"))).where("layer is not null")
     kind = F.coalesce("layer.deco_kind", "layer.kind")
     return rows.withColumn("kind", kind).withColumn("geometry", from_blob(F.col("geom"), F.col("kind"))).drop("geom")
