@@ -44,8 +44,9 @@ def _expand(rows: DataFrame, box: Column, buffer: float, zooms: tuple[int, int])
     """``rows`` for every tile that the box (min_x, max_x, min_y, max_y in metres) with a buffer of tile units touches."""
     z = F.col("z")
     margin = F.lit(2 * HALF) / F.pow(F.lit(2.0), z) * (buffer / EXTENT)
-    out = rows.withColumn("_box", box).where("_box is not null").withColumn("z", F.explode(F.sequence(F.lit(zooms[0]), F.lit(zooms[1]))))
-    out = out.withColumn("x", F.explode(F.sequence(column_of(F.col("_box.min_x") - margin, z), column_of(F.col("_box.max_x") + margin, z))))
+    out = rows.withColumn("_box", box).withColumn("z", F.explode(F.sequence(F.lit(zooms[0]), F.lit(zooms[1]))))
+    # Rows without a box go here; a filter before would be moved below the projection of points, and project them twice.
+    out = out.withColumn("x", F.explode(F.when(F.col("_box").isNotNull(), F.sequence(column_of(F.col("_box.min_x") - margin, z), column_of(F.col("_box.max_x") + margin, z)))))
     return out.withColumn("y", F.explode(F.sequence(row_of(F.col("_box.max_y") + margin, z), row_of(F.col("_box.min_y") - margin, z)))).drop("_box")
 
 
