@@ -134,7 +134,7 @@ def to_geopackage(spark: SparkSession, o: Options, path: str, work: str) -> dict
     found = _layer_rows(base, deco)
     if not found:
         raise InputError("no feature is left")
-    geopackage.write(_rows(base, deco), found, path, o.batch)
+    geopackage.write(_rows(base, deco), found, path, o.batch, f"{work}/packed")
     return {"features": base.count(), "warnings": counts["warnings"], "skipped": counts["skipped"], "layers": len(found), "tiles": 0}
 
 

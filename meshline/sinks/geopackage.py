@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import pickle
+import re
 import sqlite3
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 
 from meshline.functions.blobs import write_blobs
@@ -141,18 +143,34 @@ def packed(rows: DataFrame, layers: list[dict], batch: int) -> DataFrame:
     return rows.mapInArrow(run, "layer string, n long, data binary")
 
 
-def write(rows: DataFrame, layers: list[dict], path: str, batch: int = BATCH) -> dict[str, int]:
+def in_order(rows: DataFrame, staged: str | None) -> Iterator[dict]:
+    """Packed rows one by one: from a folder that the driver sees as files, where they are written first, or else through Spark.
+
+    Results that Spark fetches are held in buffers outside the driver's heap,
+    which stay and grow with the largest partitions.
+    """
+    folder = re.sub("^file:/+", "/", staged or "")
+    if not folder.startswith("/"):
+        yield from (r.asDict() for r in rows.toLocalIterator(prefetchPartitions=True))
+        return
+    rows.write.parquet(staged)
+    for name in sorted((f for f in os.listdir(folder) if f.startswith("part-")), key=lambda f: int(f.split("-")[1])):
+        for held in pq.ParquetFile(f"{folder}/{name}").iter_batches(1):
+            yield from held.to_pylist()
+
+
+def write(rows: DataFrame, layers: list[dict], path: str, batch: int = BATCH, staged: str | None = None) -> dict[str, int]:
     """Writes ``rows`` (layer, ord, pts, attributes struct) in order; returns the number of rows per layer.
 
-    The driver holds two partitions of packed rows and a transaction of ``batch``
-    rows. A failure removes the file.
+    The driver holds a transaction of ``batch`` rows; ``staged`` is a folder for
+    packed rows, see ``in_order``. A failure removes the file.
     """
     if batch <= 0:
         raise ValueError("the batch size must be above 0")
     writer = Writer(path, layers)
     try:
         open_rows = 0
-        for r in packed(rows.orderBy("layer", "ord").select("layer", "pts", "attributes"), layers, batch).toLocalIterator(prefetchPartitions=True):
+        for r in in_order(packed(rows.orderBy("layer", "ord").select("layer", "pts", "attributes"), layers, batch), staged):
             if open_rows and open_rows + r["n"] > batch:
                 writer.db.execute("COMMIT")
                 open_rows = 0

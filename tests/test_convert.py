@@ -186,9 +186,11 @@ def test_geopackage_writer_in_bounds(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(sink.Writer, "finish", finish)
     path = str(tmp_path / "out.gpkg")
-    assert sink.write(rows, layers, path, 100) == {"dm_2100_line_08_2500": 1666, "dm_7100_point_08_2500": 834}
+    staged = f"file://{tmp_path}/staged"
+    assert sink.write(rows, layers, path, 100, staged) == {"dm_2100_line_08_2500": 1666, "dm_7100_point_08_2500": 834}
     assert -65536 <= seen["cache"] < 0 and seen["temp"] == 1
-    assert sink.packed(rows.orderBy("layer", "ord"), layers, 100).agg({"n": "max"}).first()[0] == 100
+    assert spark.read.parquet(staged).agg({"n": "max"}).first()[0] == 100
+    assert sink.write(rows, layers, str(tmp_path / "other.gpkg"), 100) == {"dm_2100_line_08_2500": 1666, "dm_7100_point_08_2500": 834}
     with sqlite3.connect(path) as db:
         for layer, kind, ids in (("dm_2100_line_08_2500", "line", [k for k in range(2500) if k % 3]), ("dm_7100_point_08_2500", "point", range(0, 2500, 3))):
             expected = [(n, write_blob(kind, [(float(k + j), float(k - j)) for j in range(k % 4 + 2 if k % 3 else 1)], 6676), k + 1) for n, k in enumerate(ids, 1)]
